@@ -13,6 +13,11 @@ from staygauge import fixed_values as fixed
 UNICODE = "(?U)"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it, also inside its own lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ["season", "listings", "stats", "geo"]
+TOPICS = ["season", "listings", "stats", "geo", "pages"]
 
 
 def load_all():

@@ -35,37 +35,37 @@ def nearest_city_within(spark, sf_dir):
     return nearest_city(points, centres(points), within_km=3000).select("c_custkey", "nearest_city", "nearest_city_km")
 
 
-# Cluster points: customers outside the fifth that asks; the quarter they live in is their cluster.
-ASKING = "asking AS (SELECT * FROM town WHERE c_custkey % 5 = 0), known AS (SELECT c_custkey, city, lat, long, c_custkey % 2 AS cluster_id FROM town WHERE c_custkey % 5 <> 0 AND c_custkey % 9 <> 0)"
+# Cluster points: all customers but the strays; the quarter they live in is their cluster. Every customer asks.
+KNOWN = "known AS (SELECT c_custkey, city, lat, long, c_custkey % 2 AS cluster_id FROM town WHERE c_custkey % 9 <> 0)"
 
 
 def _sides(spark, sf_dir):
     points, key = town_points(spark, sf_dir), F.col("c_custkey")
-    known = points.filter((key % 5 != 0) & (key % 9 != 0)).select("city", "lat", "long", (key % 2).alias("cluster_id"))
-    return points.filter(key % 5 == 0), known
+    quarter = points.withColumn("cluster_id", F.when(key % 9 == 0, -1).otherwise(key % 2))
+    return points, quarter.filter("cluster_id != -1").select("city", "lat", "long", "cluster_id")
 
 
 @workload("knn_assign", f"""
-WITH {TOWN_SQL}, {ASKING},
+WITH {TOWN_SQL}, {KNOWN},
 votes AS (
-  SELECT a.c_custkey, k.cluster_id FROM asking a JOIN known k USING (city)
+  SELECT a.c_custkey, k.cluster_id FROM town a JOIN known k USING (city)
   QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY {sql_km("a.lat", "a.long", "k.lat", "k.long")}, k.cluster_id) <= 10),
 winners AS (SELECT c_custkey, cluster_id FROM votes GROUP BY c_custkey, cluster_id QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY count(*) DESC, cluster_id) = 1)
-SELECT a.c_custkey, coalesce(w.cluster_id, -1) AS cluster_id FROM asking a LEFT JOIN winners w USING (c_custkey)""")
+SELECT a.c_custkey, coalesce(w.cluster_id, -1) AS cluster_id FROM town a LEFT JOIN winners w USING (c_custkey)""")
 def knn_assign(spark, sf_dir):
-    asking, known = _sides(spark, sf_dir)
-    return knn_vote(asking, known).select("c_custkey", "cluster_id")
+    points, known = _sides(spark, sf_dir)
+    return knn_vote(points, known).select("c_custkey", "cluster_id")
 
 
 @workload("nn_assign", f"""
-WITH {TOWN_SQL}, {ASKING},
+WITH {TOWN_SQL}, {KNOWN},
 winners AS (
-  SELECT a.c_custkey, k.cluster_id FROM asking a JOIN known k USING (city)
+  SELECT a.c_custkey, k.cluster_id FROM town a JOIN known k USING (city)
   QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY round(sqrt(pow(a.lat - k.lat, 2) + pow(a.long - k.long, 2)), 9), k.cluster_id) = 1)
-SELECT a.c_custkey, coalesce(w.cluster_id, -1) AS cluster_id FROM asking a LEFT JOIN winners w USING (c_custkey)""")
+SELECT a.c_custkey, coalesce(w.cluster_id, -1) AS cluster_id FROM town a LEFT JOIN winners w USING (c_custkey)""")
 def nn_assign(spark, sf_dir):
-    asking, known = _sides(spark, sf_dir)
-    return nearest_cluster(asking, known).select("c_custkey", "cluster_id")
+    points, known = _sides(spark, sf_dir)
+    return nearest_cluster(points, known).select("c_custkey", "cluster_id")
 
 
 KTH = f"""

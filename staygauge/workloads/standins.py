@@ -160,3 +160,92 @@ listed AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   WHERE o_orderkey % 17 <> 0 AND 1 + o_orderkey % 35 < 30
 )"""
+
+# --- captured listing pages: one per customer ------------------------------------------------------
+_SYMBOL = "element_at(array('₪', '$', '€', '£'), CAST(1 + c_custkey % 4 AS INT))"
+_GAP = "repeat('- ', 40)"
+_PAGE_PARTS = [
+    "'<!DOCTYPE html><html><head><title>Page ', c_custkey, '</title><style>p{margin:0}</style>'",
+    """'<script>var geo = {"lat":', c_custkey % 90, '.25,"lng":-', c_custkey % 180, '.5}; var t = "</p>";</script>'""",
+    """CASE WHEN c_custkey % 4 = 0 THEN concat('<script type="application/ld+json">[{"@type":"BreadcrumbList","name":"no"},
+       {"@type":["Product","Thing"],"name":"Loft ', c_custkey, '","address":{"addressLocality":"', n_name, '","addressCountry":"', r_name, '"},
+       "geo":{"latitude":"10.5","longitude":20.25},"offers":[{"price":"1,100","priceCurrency":"EUR"}],
+       "aggregateRating":{"ratingValue":4.5,"reviewCount":"77"},"review":[{"reviewBody":"Nice  place"},{"name":""}],"numberOfRooms":3,
+       "host":{"memberSince":"May 2012","rating":4.9,"responseRate":"90%"},"amenityFeature":[{"name":"Wifi"},{"value":"Pool"}]}]</script>')
+       WHEN c_custkey % 4 = 1 THEN '<script type="application/ld+json">{"@type":"House","name":</script>' ELSE '' END""",
+    "'</head><body><header><h1>House  ', c_custkey, ' &amp; garden</h1><h2>Sub ', c_custkey, '</h2></header>'",
+    """CASE WHEN c_custkey % 5 <> 0 THEN concat('<section><div><h2 elementtiming="LCP-target">Entire home in ', n_name, ', ', r_name,
+       ' 4.93</h2></div><ol class="x lgx66tx"><li>', 1 + c_custkey % 60, ' guests</li><li><span aria-hidden="true"> · </span>', c_custkey % 4,
+       ' bedrooms</li><li>', 1 + c_custkey % 3, ' beds</li><li>', 1 + c_custkey % 2, '.5 baths</li></ol></section>') ELSE '' END""",
+    """CASE WHEN c_custkey % 11 = 0 THEN '<div data-testid="pdp-section-summary">2 guests · Studio · 1 bath</div>' ELSE '' END""",
+    """CASE WHEN c_custkey % 2 = 0 THEN concat('<p>4.', 10 + c_custkey % 90, ' · ', c_custkey % 400, ' reviews</p>') ELSE '<p>7 reviews</p>' END""",
+    f"""CASE WHEN c_custkey % 3 = 0 THEN concat('<p>', {_SYMBOL}, format_number(1000 + c_custkey, 0), '&nbsp;for ', 1 + c_custkey % 6, ' nights</p>')
+       WHEN c_custkey % 3 = 1 THEN concat({_GAP}, '<p>', {_SYMBOL}, 100 + c_custkey, ' per night</p>', {_GAP}, '<p>Parking fee: ', {_SYMBOL}, '5 per night</p>')
+       ELSE concat({_GAP}, '<p>Now ', {_SYMBOL}, ' ', 200 + c_custkey, '</p>', {_GAP}, '<p>Cleaning fee ', {_SYMBOL}, 10 + c_custkey % 7,
+         '</p><p>Airbnb service fee ', {_SYMBOL}, '9</p><p>Taxes ', {_SYMBOL}, 3 + c_custkey % 5, '.50</p>') END""",
+    "'<p>Hosting since 20', 10 + c_custkey % 10, ' Response rate: ', c_custkey % 101, '%</p>'",
+    "CASE WHEN c_custkey % 7 = 0 THEN '<p>33 reviews · Superhost</p>' ELSE '' END",
+    "CASE WHEN c_custkey % 3 <> 0 THEN '<p>4.68 out of 5 average rating</p>' ELSE '' END",
+    "'<button>Show all ', 20 + c_custkey % 50, ' amenities</button><!-- skip -->'",
+    "CASE WHEN c_custkey % 6 = 0 THEN concat('<div data-testid=\"review-item\"><p>Great ', c_custkey, '</p></div>') ELSE '' END",
+    """'<h2>About this place</h2> Lovely ', c_custkey, ' here. <h2>Where you\\'ll sleep</h2>Room<h2>Where you\\'ll be</h2>In ', n_name,
+       ' center <h2>What this place offers</h2>Wifi<h2>Reviews</h2>So good that this text is longer than thirty characters<h2>Meet your Host</h2>Bob '""",
+    "CASE WHEN c_custkey % 8 <> 7 THEN repeat('and so on ', 60) ELSE '' END, '</body></html>'",
+]
+
+
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (
+        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    return rows.selectExpr(
+        "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS STRING) END AS listingId",
+        "CASE WHEN c_custkey % 2 = 1 THEN CAST(c_custkey AS STRING) END AS listing_id",
+        """concat('https://www.airbnb.com/', CASE WHEN c_custkey % 10 = 9 THEN 'help/' ELSE 'rooms/' END, c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN
+             concat('?check_in=2026-0', 1 + c_custkey % 9, '-10&check_out=2026-0', 1 + c_custkey % 9, '-', 12 + c_custkey % 5) ELSE '' END) AS url""",
+        f"concat({', '.join(_PAGE_PARTS)}) AS html",
+        "date_format(timestamp_seconds(1767225600 + c_custkey), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS capturedAt",
+    )
+
+
+PAGES_SQL = """
+facts AS (
+  SELECT c_custkey AS k, n_name, r_name, c_custkey % 4 = 0 AS ld, c_custkey % 5 <> 0 AS over,
+    CASE WHEN c_custkey % 3 <> 0 THEN '2026-0' || (1 + c_custkey % 9) || '-10' END AS check_in,
+    CASE WHEN c_custkey % 3 <> 0 THEN '2026-0' || (1 + c_custkey % 9) || '-' || (12 + c_custkey % 5) END AS check_out,
+    CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 + c_custkey % 6 END AS DOUBLE) AS offer_nights,
+    CAST(CASE WHEN c_custkey % 3 = 0 THEN 1000 WHEN c_custkey % 3 = 1 THEN 100 ELSE 200 END + c_custkey AS DOUBLE) AS offer_amount,
+    ['ILS', 'USD', 'EUR', 'GBP'][1 + c_custkey % 4] AS offer_currency
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), expected AS (
+  SELECT k, ld, over, n_name, r_name, offer_nights, offer_amount, offer_currency, check_in, check_out,
+    CASE WHEN ld THEN 'Loft ' || k ELSE 'House ' || k || ' & garden' END AS name,
+    CASE WHEN over THEN 'Entire home' END AS property_type,
+    CAST(CASE WHEN ld THEN 1100 ELSE offer_amount END AS DOUBLE) AS price,
+    CASE WHEN ld THEN 'EUR' ELSE offer_currency END AS currency,
+    CASE WHEN ld THEN ['Nice place'] WHEN k % 6 = 0 THEN ['Great ' || k]
+      ELSE ['So good that this text is longer than thirty characters'] END AS reviews,
+    CAST(CASE WHEN ld THEN 4.5 WHEN k % 2 = 0 THEN (410 + k % 90) / 100 END AS DOUBLE) AS ratings,
+    CASE WHEN ld THEN n_name || ', ' || r_name ELSE 'Sub ' || k END AS location,
+    CAST(CASE WHEN ld THEN 10.5 ELSE k % 90 + 0.25 END AS DOUBLE) AS lat,
+    CAST(CASE WHEN ld THEN 20.25 ELSE -(k % 180) - 0.5 END AS DOUBLE) AS long,
+    CAST(CASE WHEN over AND 1 + k % 60 <= 50 THEN 1 + k % 60 WHEN ld THEN 3 WHEN k % 11 = 0 THEN 2 END AS DOUBLE) AS guests,
+    CAST(CASE WHEN k % 3 = 2 THEN 9 END AS DOUBLE) AS airbnb_service_fee,
+    CAST(CASE WHEN k % 3 = 2 THEN 10 + k % 7 END AS DOUBLE) AS cleaning_fee,
+    CAST(CASE WHEN k % 3 = 2 THEN 3.5 + k % 5 END AS DOUBLE) AS taxes,
+    coalesce(offer_nights, 2 + k % 5) AS num_of_nights,
+    CAST(CASE WHEN k % 7 = 0 THEN 33 END AS DOUBLE) AS host_number_of_reviews,
+    CAST(CASE WHEN ld THEN 4.9 WHEN k % 3 <> 0 THEN 4.68 END AS DOUBLE) AS host_rating,
+    CASE WHEN ld THEN '90%' ELSE (k % 101) || '%' END AS host_response_rate,
+    CAST(CASE WHEN ld THEN 77 WHEN k % 2 = 0 THEN k % 400 ELSE 7 END AS DOUBLE) AS property_number_of_reviews,
+    k % 7 = 0 AS is_superhost,
+    CAST(CASE WHEN ld THEN 2012 ELSE 2010 + k % 10 END AS DOUBLE) AS host_year,
+    CASE WHEN ld THEN ['Wifi', 'Pool'] WHEN k % 11 = 0 THEN ['2 guests', 'Studio', '1 bath'] ELSE CAST([] AS VARCHAR[]) END AS details,
+    'Lovely ' || k || ' here.' AS description, 'In ' || n_name || ' center' AS location_details,
+    CASE WHEN over THEN n_name || ', ' || r_name END AS city,
+    CAST(CASE WHEN over THEN k % 4 END AS DOUBLE) AS num_bedrooms, CAST(CASE WHEN over THEN 1 + k % 3 END AS DOUBLE) AS num_beds,
+    CAST(CASE WHEN over THEN 1.5 + k % 2 END AS DOUBLE) AS num_baths, CAST(20 + k % 50 AS DOUBLE) AS num_amenities
+  FROM facts
+)"""
