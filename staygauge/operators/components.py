@@ -28,9 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = settle(hang(small.unionByName(lowest.select("u", F.col("m").alias("v")))), "links")
         # Done when only stars are left: no centre hangs below another node, and every node hangs below one.
-        nested = links.join(links.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
-        split = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u").limit(1)
-        if nested.isEmpty() and split.isEmpty():
+        nested = links.join(links.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1).alias("x"))
+        split = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(1).alias("x"))
+        if nested.unionByName(split).isEmpty():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from staygauge import fixed_values as fixed
 from staygauge.operators.stats import non_null_counts
+from staygauge.session import settle
 
 LABEL = "price_cleaned"
 
@@ -64,9 +65,15 @@ def fit_price_model(
     train: DataFrame, features: FeatureSet, iterations: int = fixed.TREE_ITERATIONS, depth: int = fixed.TREE_DEPTH,
     step: float = fixed.TREE_STEP, seed: int = 42, median_error: float = 0.001,
 ) -> PipelineModel:
-    """Fit all stages on a settled training table, so that one saved object scores any table of the same columns."""
+    """Fit all stages into one object that scores any table with the same columns.
+
+    The trees read the label and the finished vectors from a settled table: every iteration then scans two columns,
+    and the planner does not carry the whole preparation through each of its passes.
+    """
+    prepared = Pipeline(stages=preparation_stages(features, median_error)).fit(train.select(LABEL, *features.names))
+    vectors = settle(prepared.transform(train.select(LABEL, *features.names)).select(LABEL, "features"), "vectors")
     trees = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed)
-    return Pipeline(stages=[*preparation_stages(features, median_error), trees]).fit(train.select(LABEL, *features.names))
+    return PipelineModel(stages=[*prepared.stages, trees.fit(vectors)])
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:

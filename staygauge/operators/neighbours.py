@@ -10,6 +10,8 @@ Copies of a reference are one weighted point.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,14 @@ def _prune(near: Column, home: Column, k: int) -> Column:
     return F.filter(near, lambda c: F.sqrt(squared(c["cell"], -1)) <= F.sqrt(reach) + 1)
 
 
+def _start_level(points: DataFrame, by: list[str], axes: list[str], span: float) -> int:
+    extent = F.greatest(*[F.max(a) - F.min(a) for a in axes], F.lit(0.0))
+    widest = points.groupBy(*by).agg(extent.alias("extent")).agg(F.max("extent")).first()[0]
+    if not widest:
+        return _DEEPEST if widest == 0 else 0
+    return max(0, min(_DEEPEST, math.floor(math.log(span / widest, 4))))
+
+
 def candidate_lists(
     queries: DataFrame,
     references: DataFrame,
@@ -88,14 +98,15 @@ def candidate_lists(
     entry = F.struct("cell", "weight", "points")
     always = F.lit(1).alias("one")  # lets the join below stay an equi-join when there is no grouping column
 
-    # At level 0 a group has one cell per axis span, so these lists start with a single entry inside the span.
-    home0 = homes.select(*by, always, _up(F.col("fine"), _DEEPEST).alias("home")).distinct()
+    # Start where the widest group still fits into two cells per axis: coarser levels could not tell anything apart.
+    start = _start_level(points, by, axes, span)
+    home0 = homes.select(*by, always, _up(F.col("fine"), _DEEPEST - start).alias("home")).distinct()
     lists = (
-        home0.join(reference_cells(0).withColumn("one", F.lit(1)), [*by, "one"])
+        home0.join(reference_cells(start).withColumn("one", F.lit(1)), [*by, "one"])
         .groupBy(*by, "home").agg(F.collect_list(entry).alias("near"))
     )
     finished = []
-    for level in range(_DEEPEST + 1):
+    for level in range(start, _DEEPEST + 1):
         lists = settle(lists.withColumn("near", _prune(F.col("near"), F.col("home"), k)), f"lists-{level}")
         small = (_total(F.col("near"), "points") <= leaf) if level < _DEEPEST else F.lit(True)
         state = lists.agg(F.count_if(small).alias("done"), F.count_if(~small).alias("open")).first()
