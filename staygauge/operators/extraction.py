@@ -155,43 +155,50 @@ def first_of_blocks(fields: Column, name: str) -> Column:
 _NEAR_FEE = "|".join(re.escape(w) for w in fixed.FEE_WORDS)
 
 
+# Where a currency symbol can start at all. The patterns imply it; tested first, it spares most positions of a page
+# the long list of symbols and makes the price patterns several times faster.
+_CAN_START = r"(?=[$£¥UCANMSHRKucanmshrk₠-₿])(?=[A-Za-z]{0,2}+[$£¥₠-₿]|[Cc][Hh][Ff]|[Kk][Rr])"
+_MARK = "\u0001"
+
+
 def price_for_nights(text: Column) -> Column:
     """Tier 1: (symbol, amount, nights) of the first "SYM amount ... for N nights" with positive numbers."""
-    pattern = "(?idU)" + fixed.PRICE_FOR_NIGHTS
+    pattern = _CAN_START + "(?idU)" + fixed.PRICE_FOR_NIGHTS
     offers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(
         F.regexp_extract(m, pattern, 1).alias("symbol"),
         parse_number(F.regexp_extract(m, pattern, 2)).alias("amount"),
         parse_number(F.regexp_extract(m, pattern, 3)).alias("nights")))
-    return F.get(F.filter(offers, lambda o: (o["amount"] > 0) & (o["nights"] > 0)), F.lit(0))
+    # The pattern looks for the nights from every price to the end of the line, so first see whether there are any.
+    return F.when(text.rlike(r"(?iU)for\s+\d+\s+night"), F.get(F.filter(offers, lambda o: (o["amount"] > 0) & (o["nights"] > 0)), F.lit(0)))
 
 
 def lowest_price(text: Column, pattern: str) -> Column:
     """(symbol, amount, nights) with the lowest amount not near a fee word; the symbol is that of the first such match.
 
-    Near means within 50 characters on either side of the match. A match has at least 2 characters, so 51 of the pieces
-    that the matches cut the text into always hold that much context; the work is linear in the number of matches.
+    Near means within 50 characters on either side of the match. One pass marks the matches and cuts the text at the
+    marks. A match has at least 2 characters, so 51 pieces on either side always hold that much context; the work is
+    linear in the number of matches.
     """
     reach, span = fixed.FEE_REACH_CHARS, fixed.FEE_REACH_CHARS + 1
 
-    def offers(cut: Column) -> Column:
-        def offer(match: Column, i: Column) -> Column:
-            at = 2 * i + 2  # one-based place of the match among the pieces
+    def offers(pieces: Column) -> Column:
+        def offer(i: Column) -> Column:
+            at = 2 * i  # one-based place of the match among the pieces
             first = F.greatest(at - span, F.lit(1))
-            before = F.right(F.array_join(F.slice(cut["pieces"], first, at - first), ""), F.lit(reach))
-            after = F.left(F.array_join(F.slice(cut["pieces"], at + 1, span), ""), F.lit(reach))
+            before = F.right(F.array_join(F.slice(pieces, first, at - first), ""), F.lit(reach))
+            after = F.left(F.array_join(F.slice(pieces, at + 1, span), ""), F.lit(reach))
+            match = F.get(pieces, at - 1)
             return F.struct(
                 F.regexp_extract(match, pattern, 1).alias("symbol"),
                 parse_number(F.regexp_extract(match, pattern, 2)).alias("amount"),
                 F.lower(F.concat(before, match, after)).rlike(_NEAR_FEE).alias("is_fee"))
 
-        return F.filter(F.transform(cut["matches"], offer), lambda o: ~o["is_fee"] & (o["amount"] > 0))
-
-    def cut_at(matches: Column) -> Column:
-        pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))
-        return F.when(F.size(matches) > 0, F.struct(matches.alias("matches"), F.flatten(pieces).alias("pieces")))
+        matches = F.floor(F.size(pieces) / 2).cast("int")
+        usable = F.filter(F.transform(F.sequence(F.lit(1), matches), offer), lambda o: ~o["is_fee"] & (o["amount"] > 0))
+        return F.when(matches > 0, usable)
 
-    found = once(once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut_at), offers)
-    return once(found, lambda usable: F.when(F.size(usable) > 0, F.struct(
+    marked = F.regexp_replace(F.translate(text, _MARK, "\uFFFD"), pattern, f"{_MARK}$0{_MARK}")
+    return once(once(F.split(marked, _MARK, -1), offers), lambda usable: F.when(F.size(usable) > 0, F.struct(
         F.get(usable, F.lit(0))["symbol"].alias("symbol"),
         F.array_min(F.transform(usable, lambda o: o["amount"])).alias("amount"),
         F.lit(None).cast("double").alias("nights"))))
@@ -201,8 +208,8 @@ def price_in_text(text: Column) -> Column:
     """The best tier that yields a price; later tiers are evaluated only where earlier ones fail."""
     return F.coalesce(
         price_for_nights(text),
-        lowest_price(text, "(?iU)" + fixed.PRICE_PER_NIGHT),
-        lowest_price(text, "(?U)" + fixed.PRICE_ANYWHERE),
+        F.when(text.rlike("(?i)night"), lowest_price(text, _CAN_START + "(?iU)" + fixed.PRICE_PER_NIGHT)),
+        lowest_price(text, _CAN_START + "(?U)" + fixed.PRICE_ANYWHERE),
     )
 
 
@@ -246,115 +253,114 @@ def nightly_price(price: Column, nights: Column, check_in: Column, check_out: Co
 
 
 # ---- snapshot ---------------------------------------------------------------------------------------
-def completeness(data: str, fields: dict[str, str]) -> Column:
-    """(missing_fields, populated_fields): dotted names of leaf fields; blank text and empty arrays are missing."""
-    def is_missing(name: str, kind: str) -> Column:
-        value = F.col(f"{data}.{name}")
-        if kind == "string":
-            return value.isNull() | (F.length(clean_text(value)).isNull())
-        return F.coalesce(F.size(value) == 0, F.lit(True)) if kind.startswith("array") else value.isNull()
-
-    tests = {name: is_missing(name, kind) for name, kind in fields.items()}
-    return F.struct(
-        F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("missing_fields"),
-        F.array_compact(F.array(*[F.when(~t, F.lit(n)) for n, t in tests.items()])).alias("populated_fields"))
-
-
-def leaf_fields(df: DataFrame, column: str) -> dict[str, str]:
-    """Dotted leaf names of a struct column with their types, in order."""
-    def walk(struct, prefix=""):
-        for field in struct.fields:
-            if field.dataType.typeName() == "struct":
-                yield from walk(field.dataType, f"{prefix}{field.name}.")
-            else:
-                yield f"{prefix}{field.name}", field.dataType.simpleString()
-
-    return dict(walk(df.schema[column].dataType))
-
-
-def parse_pages(captures: DataFrame) -> DataFrame:
-    """Captures (listing_id, url, captured_at, html) to snapshots with a completeness summary; rows without HTML drop."""
+def is_missing(value: Column, kind: str) -> Column:
+    """NULL, blank text and empty arrays are missing."""
+    if kind == "string":
+        return clean_text(value).isNull()
+    return F.coalesce(F.size(value) == 0, F.lit(True)) if kind == "array" else value.isNull()
+
+
+_FEES = ["airbnb_service_fee", "cleaning_fee", "initial_price_per_night", "num_of_nights", "price_per_night",
+         "price_without_fees", "special_offer", "taxes"]
+_SNAPSHOT = ["name", "property_type", "price", "currency", "reviews", "ratings", "location", "lat", "long", "guests",
+             *[f"pricing_details.{f}" for f in _FEES], "host_number_of_reviews", "host_rating", "host_response_rate",
+             "property_number_of_reviews", "is_superhost", "host_year", "details", "description", "location_details",
+             "check_in", "check_out", "city", "num_bedrooms", "num_beds", "num_baths", "num_amenities"]
+_LD_FIELDS = ["name", "description", "location", "location_details", "lat", "long", "price", "currency", "ratings",
+              "property_number_of_reviews", "reviews", "guests", "details", "host_number_of_reviews", "host_rating",
+              "host_response_rate", "host_year"]
+
+
+def _found(captures: DataFrame) -> DataFrame:
+    """What each source says, as plain columns: the planner keeps an expression that several later columns use as one
+    column, but would copy the fields of a struct into each of them."""
     pages = captures.filter(F.length("html") > 0).withColumns({
         "page": page_elements("html"),
         "ld": jsonld_fields(lodging_blocks(F.col("html"))),
     })
     text, html = F.col("page.text"), F.col("html")
-    pages = pages.withColumns({
+    lat, long = coordinates_in_html(html)
+    return pages.withColumns({
         "offer": price_in_text(text),
-        "over": F.struct(*[v.alias(k) for k, v in overview(F.col("page.heading"), F.col("page.items")).items()]),
-        "known": F.struct(*[first_of_blocks(F.col("ld"), f).alias(f) for f in (
-            "name", "description", "location", "location_details", "lat", "long", "price", "currency", "ratings",
-            "property_number_of_reviews", "reviews", "guests", "details", "host_number_of_reviews", "host_rating",
-            "host_response_rate", "host_year")]),
-        "dates": F.struct(*[v.alias(k) for k, v in stay_dates(F.col("url"), html).items()]),
+        **{f"over_{k}": v for k, v in overview(F.col("page.heading"), F.col("page.items")).items()},
+        **{f"ld_{f}": first_of_blocks(F.col("ld"), f) for f in _LD_FIELDS},
+        **stay_dates(F.col("url"), html),
+        "html_lat": lat,
+        "html_long": long,
+        "element_price": parse_number(F.col("page.price")),
+        "summary_guests": number_in_text(F.col("page.summary"), fixed.GUEST_COUNT),
+        "section_review": section_text(text, "Reviews"),
+        "rated": first_group(text, fixed.RATING_AND_REVIEWS),
     })
 
-    def known(name: str) -> Column:
-        return F.col(f"known.{name}")
-
-    element_price = parse_number(F.col("page.price"))
-    ld_priced, element_priced = known("price") != 0, element_price != 0
-    no_ld_price = ~F.coalesce(ld_priced, F.lit(False))
-    no_price_yet = no_ld_price & ~F.coalesce(element_priced, F.lit(False))
-    price = first_filled(known("price"), element_price, F.col("offer.amount"))
-    currency = F.coalesce(
-        known("currency"),
-        F.when(no_ld_price, currency_of_symbol(first_group(F.col("page.price"), fixed.SYMBOL_PATTERN, flags="(?U)"))),
-        F.when(no_price_yet, currency_of_symbol(F.col("offer.symbol"))))
-    summary_guests = number_in_text(F.col("page.summary"), fixed.GUEST_COUNT)
+
+def _merged(found: DataFrame) -> DataFrame:
+    """One column per snapshot field, by precedence; the price fields still lack the nightly price."""
+    text = F.col("page.text")
+    no_ld_price = ~F.coalesce(F.col("ld_price") != 0, F.lit(False))
+    no_price_yet = no_ld_price & ~F.coalesce(F.col("element_price") != 0, F.lit(False))
+    guests = F.when(F.col("summary_guests").between(1, fixed.MAX_GUESTS), F.col("summary_guests"))
     chunks = F.filter(F.transform(F.split("page.summary", "·"), clean_text), lambda c: c.isNotNull())
-    review_section = section_text(text, "Reviews")
-    section_reviews = F.when(F.length(review_section) > fixed.SECTION_REVIEW_MIN_CHARS, F.array(review_section))
-    rated = first_group(text, fixed.RATING_AND_REVIEWS)
-    review_total = F.when(rated.isNotNull(), number_in_text(text, fixed.RATING_AND_REVIEWS, 2)).otherwise(
+    section_reviews = F.when(F.length("section_review") > fixed.SECTION_REVIEW_MIN_CHARS, F.array("section_review"))
+    review_total = F.when(F.col("rated").isNotNull(), number_in_text(text, fixed.RATING_AND_REVIEWS, 2)).otherwise(
         number_in_text(text, fixed.REVIEW_COUNT))
-    html_lat, html_long = coordinates_in_html(html)
-    per_night, nights = nightly_price(price, F.col("offer.nights"), F.col("dates.check_in"), F.col("dates.check_out"))
     no_texts = F.array().cast("array<string>")
-    fees = {field: fee_in_text(text, label) for field, label in fixed.FEE_LABELS.items()}
-
-    data = F.struct(
-        F.coalesce(known("name"), F.col("page.title")).alias("name"),
-        F.col("over.property_type").alias("property_type"),
-        price.alias("price"),
-        currency.alias("currency"),
-        F.coalesce(first_filled(known("reviews"), F.col("page.reviews"), section_reviews, kind="list"), no_texts).alias("reviews"),
-        first_filled(known("ratings"), parse_number(rated)).alias("ratings"),
-        F.coalesce(known("location"), F.col("page.subtitle")).alias("location"),
-        F.coalesce(known("lat"), html_lat).alias("lat"),
-        F.coalesce(known("long"), html_long).alias("long"),
-        first_filled(F.col("over.guests"), known("guests"), F.when(summary_guests.between(1, fixed.MAX_GUESTS), summary_guests)).alias("guests"),
-        F.struct(
-            fees["airbnb_service_fee"].alias("airbnb_service_fee"),
-            fees["cleaning_fee"].alias("cleaning_fee"),
-            per_night.alias("initial_price_per_night"),
-            nights.alias("num_of_nights"),
-            per_night.alias("price_per_night"),
-            fees["price_without_fees"].alias("price_without_fees"),
-            F.lit(None).cast("string").alias("special_offer"),
-            fees["taxes"].alias("taxes"),
-        ).alias("pricing_details"),
-        first_filled(known("host_number_of_reviews"), number_in_text(text, fixed.HOST_REVIEWS)).alias("host_number_of_reviews"),
-        first_filled(known("host_rating"), number_in_text(text, fixed.HOST_RATING)).alias("host_rating"),
-        F.coalesce(known("host_response_rate"), first_group(text, fixed.RESPONSE_RATE)).alias("host_response_rate"),
-        first_filled(known("property_number_of_reviews"), review_total).alias("property_number_of_reviews"),
-        F.lower(text).contains("superhost").alias("is_superhost"),
-        first_filled(known("host_year"), number_in_text(text, fixed.HOSTING_SINCE)).alias("host_year"),
-        F.coalesce(first_filled(known("details"), chunks, kind="list"), no_texts).alias("details"),
-        F.coalesce(known("description"), F.col("page.description"), section_text(text, "About this place")).alias("description"),
-        F.coalesce(known("location_details"), section_text(text, "Where you'll be")).alias("location_details"),
-        F.col("dates.check_in").alias("check_in"),
-        F.col("dates.check_out").alias("check_out"),
-        F.col("over.city").alias("city"),
-        F.col("over.num_bedrooms").alias("num_bedrooms"),
-        F.col("over.num_beds").alias("num_beds"),
-        F.col("over.num_baths").alias("num_baths"),
-        number_in_text(text, fixed.AMENITY_COUNT).alias("num_amenities"),
+    fields = {
+        "name": F.coalesce("ld_name", "page.title"),
+        "property_type": F.col("over_property_type"),
+        "price": first_filled(F.col("ld_price"), F.col("element_price"), F.col("offer.amount")),
+        "currency": F.coalesce(
+            "ld_currency",
+            F.when(no_ld_price, currency_of_symbol(first_group(F.col("page.price"), fixed.SYMBOL_PATTERN, flags="(?U)"))),
+            F.when(no_price_yet, currency_of_symbol(F.col("offer.symbol")))),
+        "reviews": F.coalesce(first_filled(F.col("ld_reviews"), F.col("page.reviews"), section_reviews, kind="list"), no_texts),
+        "ratings": first_filled(F.col("ld_ratings"), parse_number(F.col("rated"))),
+        "location": F.coalesce("ld_location", "page.subtitle"),
+        "lat": F.coalesce("ld_lat", "html_lat"),
+        "long": F.coalesce("ld_long", "html_long"),
+        "guests": first_filled(F.col("over_guests"), F.col("ld_guests"), guests),
+        **{field: fee_in_text(text, label) for field, label in fixed.FEE_LABELS.items()},
+        "special_offer": F.lit(None).cast("string"),
+        "offer_nights": F.col("offer.nights"),
+        "host_number_of_reviews": first_filled(F.col("ld_host_number_of_reviews"), number_in_text(text, fixed.HOST_REVIEWS)),
+        "host_rating": first_filled(F.col("ld_host_rating"), number_in_text(text, fixed.HOST_RATING)),
+        "host_response_rate": F.coalesce("ld_host_response_rate", first_group(text, fixed.RESPONSE_RATE)),
+        "property_number_of_reviews": first_filled(F.col("ld_property_number_of_reviews"), review_total),
+        "is_superhost": F.lower(text).contains("superhost"),
+        "host_year": first_filled(F.col("ld_host_year"), number_in_text(text, fixed.HOSTING_SINCE)),
+        "details": F.coalesce(first_filled(F.col("ld_details"), chunks, kind="list"), no_texts),
+        "description": F.coalesce(F.col("ld_description"), F.col("page.description"), section_text(text, "About this place")),
+        "location_details": F.coalesce(F.col("ld_location_details"), section_text(text, "Where you'll be")),
+        "check_in": F.col("check_in"),
+        "check_out": F.col("check_out"),
+        "city": F.col("over_city"),
+        "num_bedrooms": F.col("over_num_bedrooms"),
+        "num_beds": F.col("over_num_beds"),
+        "num_baths": F.col("over_num_baths"),
+        "num_amenities": number_in_text(text, fixed.AMENITY_COUNT),
+    }
+    return found.select("listing_id", "url", "captured_at", *[value.alias(name) for name, value in fields.items()])
+
+
+def parse_pages(captures: DataFrame) -> DataFrame:
+    """Captures (listing_id, url, captured_at, html) to snapshots with a completeness summary; rows without HTML drop."""
+    merged = _merged(_found(captures))
+    per_night, nights = nightly_price(F.col("price"), F.col("offer_nights"), F.col("check_in"), F.col("check_out"))
+    merged = merged.withColumns({"price_per_night": per_night, "num_of_nights": nights, "initial_price_per_night": per_night})
+    kinds = {f.name: f.dataType.typeName() for f in merged.schema.fields}
+    gaps = {name: is_missing(F.col(name.split(".")[-1]), kinds[name.split(".")[-1]]) for name in _SNAPSHOT}
+    listed = merged.withColumns({
+        "missing_fields": F.array_compact(F.array(*[F.when(gap, F.lit(name)) for name, gap in gaps.items()])),
+        "populated_fields": F.array_compact(F.array(*[F.when(~gap, F.lit(name)) for name, gap in gaps.items()])),
+    })
+    top = list(dict.fromkeys(name.split(".")[0] for name in _SNAPSHOT))
+    details = F.struct(*_FEES).alias("pricing_details")
+    return listed.select(
+        "listing_id", "url", "captured_at",
+        F.struct(*[details if name == "pricing_details" else F.col(name) for name in top]).alias("data"),
+        F.struct("missing_fields", "populated_fields").alias("summary"),
+        F.when(F.size("populated_fields") == 0, "warning").otherwise("ok").alias("status"),
     )
-    parsed = pages.select("listing_id", "url", "captured_at", data.alias("data"))
-    summary = completeness("data", leaf_fields(parsed, "data"))
-    return parsed.withColumn("summary", summary).withColumn(
-        "status", F.when(F.size("summary.populated_fields") == 0, "warning").otherwise("ok"))
 
 
 def field_completeness(parsed: DataFrame) -> DataFrame:
