@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return pairs.filter("u != v").distinct()
 
     links = settle(hang(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "links")
-    while True:
+    while not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = hang(both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staygauge.functions.geo import haversine_km, unit_vector
+from staygauge.functions.text import once
 from staygauge.session import settle
 
 _DEEPEST = 20  # 4**20 cells per axis: about 10 micrometres on the globe
@@ -36,15 +37,14 @@ def _total(array: Column, field: str) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda acc, c: acc + c[field])
 
 
-def _prune(near: Column, home: Column, k: int) -> Column:
+def _prune(near: Column, home: Column, k: int, dimensions: int) -> Column:
     """Keep the reference cells that can hold one of the k nearest references of some point in ``home``.
 
     In cell sides, two boxes ``d`` apart per axis are at least max(d-1, 0) and at most d+1 apart. The k-th nearest lies
     within the smallest upper bound that k references respect; a cell whose lower bound is beyond it is out.
     """
     def squared(cell: Column, widen: int) -> Column:
-        gaps = F.zip_with(cell, home, lambda a, b: F.greatest(F.abs(a - b) + widen, F.lit(0)).cast("double"))
-        return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
+        return sum((F.pow(F.greatest(F.abs(cell[i] - home[i]) + widen, F.lit(0)), 2) for i in range(dimensions)), F.lit(0.0))
 
     by_far = F.array_sort(F.transform(near, lambda c: F.struct(squared(c["cell"], 1).alias("far"), c["weight"].alias("weight"))))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("reach"))
@@ -55,7 +55,7 @@ def _prune(near: Column, home: Column, k: int) -> Column:
         lambda acc: acc["reach"],
     )
     # One cell of slack outweighs every rounding in coordinates and distances.
-    return F.filter(near, lambda c: F.sqrt(squared(c["cell"], -1)) <= F.sqrt(reach) + 1)
+    return once(F.sqrt(reach) + 1, lambda limit: F.filter(near, lambda c: F.sqrt(squared(c["cell"], -1)) <= limit))
 
 
 def _start_level(points: DataFrame, by: list[str], axes: list[str], span: float) -> int:
@@ -107,7 +107,7 @@ def candidate_lists(
     )
     finished = []
     for level in range(start, _DEEPEST + 1):
-        lists = settle(lists.withColumn("near", _prune(F.col("near"), F.col("home"), k)), f"lists-{level}")
+        lists = settle(lists.withColumn("near", _prune(F.col("near"), F.col("home"), k, len(axes))), f"lists-{level}")
         small = (_total(F.col("near"), "points") <= leaf) if level < _DEEPEST else F.lit(True)
         state = lists.agg(F.count_if(small).alias("done"), F.count_if(~small).alias("open")).first()
         if state["done"]:
