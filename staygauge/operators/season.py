@@ -55,6 +55,8 @@ def relative_prices(
 
 def season_colours(scored: DataFrame, relative_error: float = 0.001) -> DataFrame:
     """Colour by quarter of the z-scores of all cities; rows without a z-score are left out."""
+    if scored.filter("z_score IS NOT NULL").isEmpty():  # nothing to take quantiles of
+        return scored.select("city", "date", "price_relative", F.lit(None).cast("string").alias("stoplight")).limit(0)
     buckets = QuantileDiscretizer(
         numBuckets=len(fixed.SEASON_COLOURS), inputCol="z_score", outputCol="bucket",
         relativeError=relative_error, handleInvalid="skip",

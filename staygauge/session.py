@@ -19,6 +19,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small test tables still use all cores; on a cluster the defaults are right.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from staygauge.operators import listing
 
 
+@pytest.mark.filterwarnings("ignore")
 def test_columns_are_selected_renamed_and_missing_ones_reported(spark):
     df = spark.createDataFrame([("a", "t", 1)], "name string, is_supperhost string, other int")
     with pytest.warns(UserWarning, match="hosts_year"):
