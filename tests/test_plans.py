@@ -91,3 +91,16 @@ def test_engine_scores_the_same_from_batch_stream_and_disk(spark, tmp_path):
     streamed = spark.read.option("basePath", str(tmp_path / "out")).json(str(tmp_path / "out/batch=*")).select(*wanted)
     for got, want in zip(sorted(map(tuple, streamed.collect())), batch, strict=True):
         assert got[0] == want[0] and got[2:] == want[2:] and got[1] == pytest.approx(want[1])
+
+
+def test_flagged_outliers_stay_as_noise(spark):
+    from staygauge.operators.listing import listing_features
+    from staygauge.plans.training import training_tables
+    from staygauge.workloads.standins import raw_listings
+
+    features = listing_features(raw_listings(spark, SF)).withColumn("lat", F.when(F.col("ratings") == 3.0, 80.0).otherwise(F.col("lat")))
+    kept, dropped = (training_tables(features, radius_km=5.0, outliers=mode) for mode in ("flag", "drop"))
+    strays = kept.filter("is_outlier")
+    assert strays.count() > 0 and strays.filter("cluster_id != -1 OR split != 'train'").isEmpty()
+    assert kept.count() == dropped.count() + strays.count()
+    assert kept.filter("cluster_median IS NULL").isEmpty()
