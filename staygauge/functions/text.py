@@ -34,7 +34,7 @@ def parse_number(text: Column) -> Column:
 
 def price_number(text: Column) -> Column:
     """``$1,234.00`` to 1234.0; text that is no price becomes NULL."""
-    return F.regexp_replace(text, r"[$,]", "").try_cast("double")
+    return F.translate(text, "$,", "").try_cast("double")
 
 
 def first_group(text: Column, pattern: str, group: int = 1, flags: str = "(?iU)") -> Column:

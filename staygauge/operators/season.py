@@ -20,14 +20,13 @@ def daily_prices(calendar: DataFrame, min_prices_exclusive: int = fixed.SEASON_M
     """
     return (
         calendar.select(
-            F.log1p(price_number(F.col("adjusted_price"))).alias("price"),
+            price_number(F.col("adjusted_price")).alias("amount"),
             city_key(F.col("city")).alias("city"),
             month_day(F.col("date")).alias("date"),
-            price_number(F.col("adjusted_price")).isNotNull().alias("parsable"),
         )
-        .filter("parsable")
+        .filter("amount IS NOT NULL")
         .groupBy("city", "date")
-        .agg(F.avg("price").alias("price"), F.count(F.lit(1)).alias("prices"))
+        .agg(F.avg(F.log1p("amount")).alias("price"), F.count(F.lit(1)).alias("prices"))
         .filter(F.col("prices") > min_prices_exclusive)
     )
 
