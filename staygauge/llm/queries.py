@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
+from staygauge.llm.substring_dedup import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +59,9 @@ FROM marked GROUP BY doc_id
 def line_dedup(spark, sf_dir):
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
