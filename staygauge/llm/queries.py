@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
+from staygauge.llm.similarity_join import similarity_classes
 from staygauge.llm.substring_dedup import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,8 @@ def line_dedup(spark, sf_dir):
 def substring_dedup(spark, sf_dir):
     kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op5_similarity_join")
+def similarity_join(spark, sf_dir):
+    return similarity_classes(table(spark, sf_dir, "documents"))
