@@ -11,6 +11,7 @@ from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
 from staygauge.llm.similarity_join import similarity_classes
 from staygauge.llm.substring_dedup import dedup_substrings
+from staygauge.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +72,12 @@ def substring_dedup(spark, sf_dir):
 @query("op5_similarity_join")
 def similarity_join(spark, sf_dir):
     return similarity_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                         F.size("passages").alias("n_passages"))
