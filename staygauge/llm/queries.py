@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
+from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
 from staygauge.llm.similarity_join import similarity_classes
 from staygauge.llm.substring_dedup import dedup_substrings
 from staygauge.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from staygauge.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +83,12 @@ def toxicity(spark, sf_dir):
     scored = score_toxicity(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
                          F.size("passages").alias("n_passages"))
+
+
+@query("op6_quality")
+def quality(spark, sf_dir):
+    stats = settle(rule_statistics(table(spark, sf_dir, "documents")), "rule_statistics")
+    labels = table(spark, sf_dir, "labels")
+    forest = fit_quality(stats, labels.filter(~held_out(F.col("doc_id"))))
+    return judge_quality(stats, forest).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
