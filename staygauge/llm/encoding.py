@@ -22,6 +22,23 @@ _ODD = re.compile("[\x1c-\x1f]")
 _PIECE = re.compile("(?:[\x1c-\x1f]|\\S)+")
 
 
+# Characters that the tokenizers library knows and Python's tables (Unicode 15.1) do not yet.
+LATER_LETTERS = [
+    (0x1C8A, 0x1C8A), (0xA7CD, 0xA7CD), (0xA7DB, 0xA7DB), (0x105C0, 0x105F3), (0x10D4A, 0x10D4F), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+LATER_DIGITS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+]
+LATER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+    0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
 def pieces(text: str) -> list[str]:
     return _PIECE.findall(text) if _ODD.search(text) else text.split()
 
@@ -56,7 +73,8 @@ def char_class(major: str) -> str:
         elif first is not None:
             found.append(f"\\U{first:08x}-\\U{last:08x}")
             first = None
-    return "".join(found)
+    later = {"L": LATER_LETTERS, "N": LATER_DIGITS}[major]
+    return "".join(found + [f"\\U{a:08x}-\\U{b:08x}" for a, b in later])
 
 
 @lru_cache(None)
@@ -79,7 +97,8 @@ def lowered(piece: str) -> str:
     if piece.isascii():
         return piece.lower()
     piece = unicodedata.normalize("NFC", piece)
-    return "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()  # a final sigma is no special case there
+    piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()  # a final sigma is no special case there
+    return piece.translate(LATER_LOWER) if max(piece) > "\u1c88" else piece
 
 
 @lru_cache(None)
@@ -91,11 +110,6 @@ def byte_signs() -> list[str]:
     return [signs[b] for b in range(256)]
 
 
-def known(piece: str) -> bool:
-    """Whether this Python's character tables are surely those of the library: all characters up to the Cyrillic block."""
-    return piece.isascii() or max(piece) < "\u0530"
-
-
 def as_signs(word: str) -> str:
     return word if word.isascii() and word.isprintable() else "".join(map(byte_signs().__getitem__, word.encode()))
 
@@ -124,7 +138,7 @@ class PieceIds:
         return b"".join([self.packed[t.id] for t in self.model.tokenize(as_signs(word))])
 
     def _piece(self, piece: str) -> bytes:
-        if self.special.search(piece) or not known(piece):
+        if self.special.search(piece):
             return b"".join([self.packed[i] for i in self.encode(piece)])
         # The library's model on the words of the piece: its whole pipeline costs ten times as much on a short text.
         return b"".join(map(self.words.__getitem__, words_of(lowered(piece))))

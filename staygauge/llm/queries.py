@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staygauge.llm.bpe import digests as bpe_digests
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
 from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
@@ -92,3 +93,8 @@ def quality(spark, sf_dir):
     forest = fit_quality(stats, labels.filter(~held_out(F.col("doc_id"))))
     return judge_quality(stats, forest).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@query("op3_bpe")
+def bpe(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
