@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staygauge.llm.bpe import digests as bpe_digests
+from staygauge.llm.chat import format_conversations, read_back
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
 from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
@@ -98,3 +99,33 @@ def quality(spark, sf_dir):
 @query("op3_bpe")
 def bpe(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def _escaped(column: str) -> str:
+    """The template's escaping in SQL: a backslash after the first character of a control string."""
+    headers = f"regexp_replace({column}, '#(\\\\*)(## (System|User|Assistant|Tool|Role): )', '#\\\\\\1\\2', 'g')"
+    return f"regexp_replace({headers}, '<(\\\\*)(/turn>|/role>|\\|endoftext\\|>)', '<\\\\\\1\\2', 'g')"
+
+
+@query("op2_chat_format", f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized AS (
+    SELECT *, length(CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN '### ' || role || ': '
+                     ELSE '### Role: ' || {_escaped("role")} || '</role>' END)
+        + length({_escaped("text")}) + length('</turn>') AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""")
+def chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path = tokenizer_path("byte_bpe_50k.json")
+    return read_back(format_conversations(rows.unionByName(extra), path), path)
