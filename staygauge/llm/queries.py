@@ -15,6 +15,7 @@ from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
 from staygauge.llm.similarity_join import similarity_classes
 from staygauge.llm.substring_dedup import dedup_substrings
 from staygauge.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from staygauge.llm.url_filter import PathRule, judge_urls, mine_rules
 from staygauge.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +130,18 @@ def chat_format(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     path = tokenizer_path("byte_bpe_50k.json")
     return read_back(format_conversations(rows.unionByName(extra), path), path)
+
+
+# Fixed values of the contract.
+PATH_RULES = [
+    PathRule("allow", "org", "/"), PathRule("block", "example.org", "/es/"), PathRule("block", "example.org", "/en/1"),
+    PathRule("allow", "com", "/fr/"), PathRule("block", "com", "/de/"),
+]
+
+
+@query("op10_url_filter")
+def url_filter(spark, sf_dir):
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    bad = labels.filter(~held_out(F.col("doc_id"))).select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge_urls(pages, PATH_RULES, mine_rules(pages, bad)).select("page_id", "host", "path", "rule", "verdict")
