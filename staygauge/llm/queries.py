@@ -14,6 +14,7 @@ from staygauge.llm.packing import pack_documents
 from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
 from staygauge.llm.similarity_join import similarity_classes
 from staygauge.llm.substring_dedup import dedup_substrings
+from staygauge.llm.topk import top_k
 from staygauge.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from staygauge.llm.url_filter import PathRule, judge_urls, mine_rules
 from staygauge.session import settle
@@ -145,3 +146,17 @@ def url_filter(spark, sf_dir):
     bad = labels.filter(~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge_urls(pages, PATH_RULES, mine_rules(pages, bad)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_topk", """
+WITH good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM good q JOIN good c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
