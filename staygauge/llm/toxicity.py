@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staygauge.llm.words import LOWER, NOT_LETTERS, Spans, buffer_of, hashes, spans
+from staygauge.llm.words import LOWER, NOT_LETTERS, Spans, bounded, buffer_of, cuts, hashes, spans
 from staygauge.session import settle
 
 SAMPLE = 20_000  # labelled rows of each class that the model is fitted on, at most
@@ -100,6 +100,8 @@ def passages(column: pa.Array, weights: Weights) -> list[list[tuple[int, int, fl
         at = np.minimum(np.searchsorted(weights.tokens, value), len(weights.tokens) - 1)
         gain = np.maximum(gain, np.where(weights.tokens[at] == value, weights.scores[at], 0))
     hit = np.flatnonzero(gain)
+    if not len(hit):
+        return out
     ends = np.cumsum(tokens.counts())
     text, first = np.unique(tokens.text[hit], return_index=True)
     for i, a, b in zip(text.tolist(), first.tolist(), [*first[1:].tolist(), len(hit)], strict=True):
@@ -157,7 +159,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Texts and not occurrences are counted, else one text that repeats a word a hundred times would decide its weight.
     """
-    for batch in batches:
+    for batch in bounded(batches, 2):
         tokens, word, stem = tokens_of(batch.column(2))
         value, text = np.concatenate((word, stem)), np.concatenate((tokens.text, tokens.text))
         order = np.lexsort((text, value))
@@ -207,7 +209,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
     every = weights((0, 1))
 
     def calibrating(batches):
-        for batch in batches:
+        for batch in bounded(batches, 2):
             fold = batch.column(0).to_numpy()
             by = [passages(batch.column(2), w) for w in halves]
             pairs = [evidence([p[3] for p in by[f][i]]) for i, f in enumerate(fold.tolist())]
@@ -253,7 +255,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         import pandas as pd
 
         weights, (bias, top, every) = model.value.weights, model.value.calibration
-        found = passages(pa.array(text, pa.large_string(), from_pandas=True), weights)
+        column = pa.array(text, pa.large_string(), from_pandas=True)
+        found = [own for lo, hi in cuts(column) for own in passages(column.slice(lo, hi - lo), weights)]
         pairs = [evidence([p[3] for p in own]) for own in found]
         scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + top * a + every * b)))) for a, b in pairs]
         kept = [[{"start": p[0], "end": p[1], "score": p[2], "chance": p[3]} for p in own if p[3] <= SIGNIFICANT] for own in found]

@@ -6,12 +6,14 @@ with weights drawn from splitmix64, so equal spans have equal hashes on every ma
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_CHUNK = 1 << 21  # bytes hashed at a time, which bounds the temporary arrays
+PART_BYTES = 4 << 20
+_CHUNK = 1 << 20  # bytes hashed at a time, which bounds the temporary arrays
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,6 +74,25 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return whole[at[0]:at[-1]], at - at[0]
 
 
+def cuts(column: pa.Array, size: int = PART_BYTES) -> list[tuple[int, int]]:
+    """Ranges of rows whose texts have about ``size`` bytes together; a longer text is alone."""
+    ends = buffer_of(column)[1][1:]
+    out, lo = [], 0
+    while lo < len(ends):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + size, "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def bounded(batches: Iterable[pa.RecordBatch], column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones by the bytes of a text column, which bounds the arrays made from them."""
+    for batch in batches:
+        for lo, hi in cuts(batch.column(column), size):
+            yield batch.slice(lo, hi - lo)
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> Spans:
     """Longest runs of bytes that are no breaks."""
     part = ~breaks[data]
