@@ -132,7 +132,7 @@ class Encoder:
                 yield list(chain.from_iterable([ids for ids, _ in found])), b"".join([shown for _, shown in found])
 
 
-_GAP = re.compile(r"\s")
+_GAP = re.compile("[^\\S\x1c-\x1f]")  # the tokenizer does not take these four for white space
 
 
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
