@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygauge.llm.words import SPACES, buffer_of, covered, grams, hashes, line_spans, mixed, spans
+from staygauge.llm.words import SPACES, bounded, buffer_of, covered, grams, hashes, line_spans, mixed, spans
 from staygauge.session import settle
 
 SYMBOLS = b"#*$%&|<>"  # fixed value of the contract
@@ -77,7 +77,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     are counted one by one, repeated or without doc_id too; other columns are not read.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c].astype(np.int64)) for c in STATISTICS)],
                                              ["doc_id", *STATISTICS])
