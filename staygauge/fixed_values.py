@@ -87,7 +87,8 @@ FEE_LABELS = {
     "taxes": "Taxes",
     "price_without_fees": "Total before taxes",
 }
-PRICE_FOR_NIGHTS = SYMBOL_PATTERN + r"\s?([\d,.]+)(?:\s+|.*?\s+)for\s+(\d+)\s+nights?"
+FOR_NIGHTS = r"(?<!\s)\s++for\s+(\d+)\s+nights?"
+LONGEST_SYMBOL = 3
 PRICE_PER_NIGHT = SYMBOL_PATTERN + r"\s?([\d,.]+)\s*(?:per|a)?\s*night"
 PRICE_ANYWHERE = SYMBOL_PATTERN + r"\s?([\d,.]+)"
 RATING_AND_REVIEWS = r"([0-5](?:\.\d+)?)\s*·\s*(\d+)\s+reviews"
@@ -102,9 +103,9 @@ GUEST_COUNT = r"(\d+)\s+guests?"
 MAX_GUESTS = 50
 LATITUDE_IN_HTML = r'"lat"\s*:?\s*(-?\d+\.\d+)'
 LONGITUDE_IN_HTML = r'"(?:lng|long|lon)"\s*:?\s*(-?\d+\.\d+)'
+LD_TYPE = "application/ld+json"
 LODGING_TYPES = r"Product|House|Lodging|Accommodation|Apartment|Residence"
 PAGE_REVIEW_LIMIT = 10
-SECTION_REVIEW_LIMIT = 5
 SECTION_REVIEW_MIN_CHARS = 30
 
 # --- fixed values: elements of a listing page, tried in this order ------------------------------

@@ -21,6 +21,7 @@ from staygauge import fixed_values as fixed
 from staygauge.functions.geo import chord_of_km_column, haversine_km, unit_vector
 from staygauge.operators.components import connected_components
 from staygauge.operators.neighbours import neighbour_distance
+from staygauge.operators.stats import sample_rows
 from staygauge.session import settle
 
 MERGE_KM = fixed.CLUSTER_MERGE_RADIANS * fixed.EARTH_RADIUS_KM
@@ -167,9 +168,7 @@ def _grow(core: DataFrame, by: str) -> DataFrame:
     return merged.select(F.col(f"node.{by}").alias(by), "node.cell", F.coalesce("component", "part").alias("part"))
 
 
-def city_cluster_view(clustered: DataFrame, city: str, rows: int = 20_000, seed: int = 42) -> DataFrame:
-    """Sample of one city's places with their clusters, noise flagged."""
-    from staygauge.operators.stats import sample_about
-
-    chosen = sample_about(clustered.filter(F.col("city") == city), rows, seed)
+def city_cluster_view(clustered: DataFrame, city: str, key: list[str], rows: int = 20_000, seed: int = 42) -> DataFrame:
+    """Sample of one city's places with their clusters, noise flagged; which rows depends on their key only."""
+    chosen = sample_rows(clustered.filter(F.col("city") == city), rows, key, seed)
     return chosen.withColumn("is_noise", F.col("cluster_id") == fixed.NO_CLUSTER)

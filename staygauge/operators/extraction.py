@@ -83,12 +83,9 @@ def overview(heading: Column, items: Column) -> dict[str, Column]:
 
 
 # ---- JSON-LD --------------------------------------------------------------------------------------
-_LD_SCRIPT = r"""(?is)<script\b[^>]*?\btype\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))[^>]*>(.*?)</script"""
-
-
-def lodging_blocks(html: Column) -> Column:
-    """JSON-LD objects of lodging types, in page order, as variants; bad JSON is skipped."""
-    parsed = F.filter(F.transform(F.regexp_extract_all(html, F.lit(_LD_SCRIPT), F.lit(1)), F.try_parse_json), lambda v: v.isNotNull())
+def lodging_blocks(scripts: Column) -> Column:
+    """JSON-LD objects of lodging types from the page step's ``jsonld`` texts, in page order, as variants; bad JSON is skipped."""
+    parsed = F.filter(F.transform(scripts, F.try_parse_json), lambda v: v.isNotNull())
     single = F.flatten(F.transform(parsed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
     # A list of types is tested as its JSON text, which contains each type.
     return F.filter(single, lambda v: F.coalesce(
@@ -113,6 +110,21 @@ def _texts_at(block: Column, path: str, *fields: str) -> Column:
     return F.filter(F.transform(items, lambda i: clean_text(_text_at(i, *[f"$.{f}" for f in fields]))), lambda t: t.isNotNull())
 
 
+def _has_host(block: Column) -> Column:
+    """Whether the block's host is filled; only then are its fields the host's, and else all of them are the organizer's."""
+    shown = F.to_json(F.try_variant_get(block, "$.host", "variant"))
+    return F.coalesce(~shown.isin("{}", "[]", '""', "null", "false", "0"), F.lit(False))
+
+
+def _host_number(block: Column, *fields: str) -> Column:
+    return F.when(_has_host(block), _number_at(block, *[f"$.host.{f}" for f in fields])).otherwise(
+        _number_at(block, *[f"$.organizer.{f}" for f in fields]))
+
+
+def _host_text(block: Column, field: str) -> Column:
+    return F.when(_has_host(block), _text_at(block, f"$.host.{field}")).otherwise(_text_at(block, f"$.organizer.{field}"))
+
+
 def jsonld_fields(blocks: Column) -> Column:
     """Every block as a struct of snapshot fields."""
     return F.transform(blocks, lambda b: F.struct(
@@ -130,11 +142,10 @@ def jsonld_fields(blocks: Column) -> Column:
         _texts_at(b, "$.review", "reviewBody", "description", "name").alias("reviews"),
         _number_at(b, "$.numberOfRooms").alias("guests"),
         _texts_at(b, "$.amenityFeature", "name", "value").alias("details"),
-        _number_at(b, "$.host.numberOfReviews", "$.host.reviewCount", "$.organizer.numberOfReviews",
-                   "$.organizer.reviewCount").alias("host_number_of_reviews"),
-        _number_at(b, "$.host.rating", "$.organizer.rating").alias("host_rating"),
-        clean_text(_text_at(b, "$.host.responseRate", "$.organizer.responseRate")).alias("host_response_rate"),
-        parse_number(F.regexp_extract(_text_at(b, "$.host.memberSince", "$.organizer.memberSince"), r"(\d{4})", 1)).alias("host_year"),
+        _host_number(b, "numberOfReviews", "reviewCount").alias("host_number_of_reviews"),
+        _host_number(b, "rating").alias("host_rating"),
+        clean_text(_host_text(b, "responseRate")).alias("host_response_rate"),
+        parse_number(F.regexp_extract(_host_text(b, "memberSince"), r"(\d{4})", 1)).alias("host_year"),
     ))
 
 
@@ -162,14 +173,31 @@ _MARK = "\u0001"
 
 
 def price_for_nights(text: Column) -> Column:
-    """Tier 1: (symbol, amount, nights) of the first "SYM amount ... for N nights" with positive numbers."""
-    pattern = _CAN_START + "(?idU)" + fixed.PRICE_FOR_NIGHTS
-    offers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(
-        F.regexp_extract(m, pattern, 1).alias("symbol"),
-        parse_number(F.regexp_extract(m, pattern, 2)).alias("amount"),
-        parse_number(F.regexp_extract(m, pattern, 3)).alias("nights")))
-    # The pattern looks for the nights from every price to the end of the line, so first see whether there are any.
-    return F.when(text.rlike(r"(?iU)for\s+\d+\s+night"), F.get(F.filter(offers, lambda o: (o["amount"] > 0) & (o["nights"] > 0)), F.lit(0)))
+    """Tier 1: (symbol, amount, nights) of the first "SYM amount ... for N nights" with positive numbers.
+
+    One pass marks the ends of "for N nights" and cuts the text there. What belongs to an end is the first price on the
+    line before it, so every piece is read once: the work is linear in the text, however many prices it has. The "s" of
+    "nights" is never taken for the beginning of a symbol right after it.
+    """
+    price = _CAN_START + "(?iU)" + fixed.PRICE_ANYWHERE + r"[^\n]*\z"
+    marked = F.regexp_replace(F.translate(text, _MARK, "\uFFFD"), "(?iU)" + fixed.FOR_NIGHTS, f"$0{_MARK}")
+
+    def offer(piece: Column) -> Column:
+        def priced(body: Column) -> Column:
+            last = F.substring_index(body, "\n", -1)
+            # A symbol may end the line before its amount.
+            near = F.right(body, F.length(last) + fixed.LONGEST_SYMBOL + 1)
+            return F.struct(
+                F.regexp_extract(near, price, 1).alias("symbol"), parse_number(F.regexp_extract(near, price, 2)).alias("amount"),
+                parse_number(F.regexp_extract(piece, "(?iU)" + fixed.FOR_NIGHTS + r"\z", 1)).alias("nights"))
+
+        return once(F.regexp_replace(piece, "(?iU)" + fixed.FOR_NIGHTS + r"\z", ""), priced)
+
+    def first(pieces: Column) -> Column:
+        offers = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), offer)
+        return F.get(F.filter(offers, lambda o: (o["amount"] > 0) & (o["nights"] > 0)), F.lit(0))
+
+    return F.when(text.rlike(r"(?iU)for\s+\d+\s+night"), once(F.split(marked, _MARK, -1), first))
 
 
 def lowest_price(text: Column, pattern: str) -> Column:
@@ -276,7 +304,7 @@ def _found(captures: DataFrame) -> DataFrame:
     column, but would copy the fields of a struct into each of them."""
     pages = captures.filter(F.length("html") > 0).withColumns({
         "page": page_elements("html"),
-        "ld": jsonld_fields(lodging_blocks(F.col("html"))),
+        "ld": jsonld_fields(lodging_blocks(F.col("page.jsonld"))),
     })
     text, html = F.col("page.text"), F.col("html")
     lat, long = coordinates_in_html(html)

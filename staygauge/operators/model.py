@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staygauge import fixed_values as fixed
-from staygauge.operators.stats import non_null_counts
+from staygauge.operators.stats import exact_medians, non_null_counts, sample_rows
 from staygauge.session import settle
 
 LABEL = "price_cleaned"
@@ -82,26 +82,27 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.select(*df.columns, "prediction", F.expm1("prediction").alias("prediction_real"))
 
 
-def regression_metrics(scored: DataFrame, by: list[str], features: int, label: str = LABEL, accuracy: int = 10_000) -> DataFrame:
-    """RMSE, MAE, R2, adjusted R2, median absolute error and mean absolute percentage error, all from one pass."""
+def regression_metrics(scored: DataFrame, by: list[str], features: int, label: str = LABEL) -> DataFrame:
+    """RMSE, MAE, R2, adjusted R2, exact median absolute error and mean absolute percentage error."""
     y, error = F.col(label), F.col(label) - F.col("prediction")
     sums = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(error * error).alias("sse"),
         F.avg(F.abs(error)).alias("MAE"),
         (F.var_pop(y) * F.count(y)).alias("sst"),
-        F.percentile_approx(F.abs(error), 0.5, accuracy).alias("MedAE"),
         (F.avg(F.abs(F.try_divide(error, y))) * 100).alias("MAPE"),
     )
+    middle = exact_medians(scored.select(*by, F.abs(error).alias("error")), by, {"error": "MedAE"})
+    sums = sums.join(middle, by, "left") if by else sums.withColumn("MedAE", middle.scalar())
     r2 = 1 - F.try_divide(F.col("sse"), F.col("sst"))
     return sums.select(
         *by, "n", F.sqrt(F.col("sse") / F.col("n")).alias("RMSE"), "MAE", r2.alias("R2"),
         (1 - (1 - r2) * F.try_divide(F.col("n") - 1, F.col("n") - features - 1)).alias("Adj_R2"), "MedAE", "MAPE")
 
 
-def scored_sample(scored: DataFrame, share: float = 0.1, rows: int = 1000, seed: int = 42) -> DataFrame:
-    """Random sample of actual and predicted log prices."""
-    return scored.select(LABEL, "prediction").sample(False, share, seed).limit(rows)
+def scored_sample(scored: DataFrame, key: list[str], rows: int = 1000, seed: int = 42) -> DataFrame:
+    """Sample of actual and predicted log prices, in a hash order of the rows' key."""
+    return sample_rows(scored, rows, key, seed).select(LABEL, "prediction")
 
 
 def feature_category(name: Column) -> Column:

@@ -30,34 +30,26 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
-def city_statistics(listings: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Median log price and median position per city, in one aggregation.
+def exact_medians(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """The lower median of each column per group, as columns with the given names; groups without any value are left out."""
+    found = exact_quantiles(df, by, list(columns), [0.5], discrete=True)
+    return found.groupBy(*by).agg(*[
+        F.max(F.when(F.col("measure") == c, F.col("quantiles")[0])).alias(name) for c, name in columns.items()])
 
-    The quantile sketches have bounded size and merge, so a city with a third of all rows is combined before the
-    shuffle. They are exact for cities with fewer rows than ``accuracy``.
-    """
-    def median(column: str) -> Column:
-        return F.percentile_approx(column, 0.5, accuracy)
 
-    return listings.groupBy("city").agg(
-        median("price_cleaned").alias("median_city"),
-        median("lat").alias("center_lat"),
-        median("long").alias("center_lon"),
-    )
+def city_statistics(listings: DataFrame) -> DataFrame:
+    """Exact median log price and median position per city."""
+    return exact_medians(listings, ["city"], {"price_cleaned": "median_city", "lat": "center_lat", "long": "center_lon"})
 
 
-def cluster_statistics(listings: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Median log price per cluster, without noise."""
-    return (
-        listings.filter(F.col("cluster_id") != fixed.NO_CLUSTER)
-        .groupBy("city", "cluster_id")
-        .agg(F.percentile_approx("price_cleaned", 0.5, accuracy).alias("cluster_median"))
-    )
+def cluster_statistics(listings: DataFrame) -> DataFrame:
+    """Exact median log price per cluster, without noise."""
+    return exact_medians(listings.filter(F.col("cluster_id") != fixed.NO_CLUSTER), ["city", "cluster_id"], {"price_cleaned": "cluster_median"})
 
 
-def overall_median(listings: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """One row with the median log price of all listings."""
-    return listings.agg(F.percentile_approx("price_cleaned", 0.5, accuracy).alias("global_median"))
+def overall_median(listings: DataFrame) -> DataFrame:
+    """One row with the exact median log price of all listings."""
+    return exact_medians(listings, [], {"price_cleaned": "global_median"})
 
 
 def with_city_median(df: DataFrame, cities: DataFrame, overall: DataFrame | None = None) -> DataFrame:
@@ -90,14 +82,16 @@ def with_split(df: DataFrame, bucket: Column, train_percent: int = 85) -> DataFr
     return df.withColumn("split", F.when(bucket < train_percent, "train").otherwise("validation"))
 
 
-def sample_about(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """Random sample of about ``rows`` rows without replacement; all rows if there are fewer."""
-    total = df.count()
-    return df.sample(False, min(1.0, rows / total) if total else 1.0, seed)
+def sample_rows(df: DataFrame, rows: int, key: list[str], seed: int = 42) -> DataFrame:
+    """``rows`` rows in a hash order of their key: the same rows however the table is partitioned; all if there are fewer."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), *key).limit(rows)
 
 
-def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probabilities: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation per group, one row per (group, column) with array ``quantiles``.
+def exact_quantiles(
+    df: DataFrame, by: list[str], columns: list[str], probabilities: list[float], discrete: bool = False,
+) -> DataFrame:
+    """Exact quantiles per group, one row per (group, column) with array ``quantiles``: with linear interpolation, or
+    ``discrete``, the first value that the share of rows reaches.
 
     A sketch first narrows each quantile to a band that is certain to hold it; then only the band's values are ranked,
     as (value, count) pairs, and the values below it are merely counted. No task holds a whole group, however large.
@@ -131,7 +125,7 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probabilit
         .withColumn("upto", F.coalesce("below", F.lit(0)) + F.sum("copies").over(running))
     )
     p = F.get(F.array(*[F.lit(x) for x in probabilities]), F.col("q"))
-    position = p * (F.col("total") - 1)
+    position = F.greatest(F.ceil(p * F.col("total")) - 1, F.lit(0)) if discrete else p * (F.col("total") - 1)
     ranked = last.withColumns({"rank": F.floor(position), "share": position - F.floor(position)})
     picked = ranked.groupBy(*key, "q").agg(
         F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("low"),

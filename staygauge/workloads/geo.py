@@ -4,16 +4,15 @@ from pyspark.sql import functions as F
 
 from staygauge.operators.density import city_cluster_view, city_radius, density_clusters
 from staygauge.operators.neighbours import knn_vote, nearest_city, nearest_cluster, neighbour_distance
-from staygauge.operators.stats import city_statistics
+from staygauge.operators.stats import city_statistics, top_groups
 from staygauge.workloads.registry import six, workload
 from staygauge.workloads.standins import GLOBE_SQL, TOWN_SQL, globe_points, sql_km, town_points
-from staygauge.workloads.stats import ACCURACY
 
 CENTRES = "centres AS (SELECT city, quantile_disc(lat, 0.5) AS clat, quantile_disc(long, 0.5) AS clon FROM globe GROUP BY city)"
 
 
 def centres(points):
-    return city_statistics(points.withColumn("price_cleaned", F.lit(0.0)), ACCURACY).select("city", "center_lat", "center_lon")
+    return city_statistics(points.withColumn("price_cleaned", F.lit(0.0))).select("city", "center_lat", "center_lon")
 
 
 NEAREST = f"""
@@ -111,5 +110,7 @@ def density_clusters_query(spark, sf_dir):
 
 @workload("city_cluster_view")
 def city_cluster_view_query(spark, sf_dir):
-    """One city's clusters with a radius derived from the data; a random sample of at most about 20 000 places."""
-    return city_cluster_view(density_clusters(town_points(spark, sf_dir)), "NATION_3")
+    """The clusters of the city with most places, with a radius derived from the data; 20 000 of its places at most."""
+    city = top_groups(town_points(spark, sf_dir), "city", 1).first()["city"]
+    places = town_points(spark, sf_dir).filter(F.col("city") == city)
+    return city_cluster_view(density_clusters(places), city, ["c_custkey"])

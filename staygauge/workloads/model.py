@@ -10,7 +10,7 @@ from staygauge.operators.geography import with_cluster, with_geography
 from staygauge.operators.model import FeatureSet, predict, preparation_stages, regression_metrics, scored_sample
 from staygauge.operators.stats import city_statistics, cluster_statistics, overall_median
 from staygauge.plans.scoring import score_captures, scoring_error
-from staygauge.plans.training import train_engine, training_tables
+from staygauge.plans.training import SPLIT_KEY, train_engine, training_tables
 from staygauge.operators.listing import listing_features
 from staygauge.session import new_folder
 from staygauge.sources.artifacts import load_engine, save_engine
@@ -19,17 +19,15 @@ from staygauge.workloads.pages import captures
 from staygauge.workloads.registry import six, table, workload
 from staygauge.workloads.season import index
 from staygauge.workloads.standins import PAGES_SQL, SEASON_SQL, TOWN_SQL, captured_pages, raw_listings, sql_km, town_points
-from staygauge.workloads.stats import ACCURACY
 
 _ENGINES = {}
-RADIUS_KM = 0.12
 
 
 def engine(spark, sf_dir):
-    """One engine per session and table folder, with few and shallow trees; several queries use it."""
+    """One engine per session and table folder, as it is trained in production; several queries use it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ENGINES:
-        _ENGINES[key] = train_engine(raw_listings(spark, sf_dir), index(spark, sf_dir), iterations=5, depth=4, radius_km=RADIUS_KM)
+        _ENGINES[key] = train_engine(raw_listings(spark, sf_dir), index(spark, sf_dir))
     return _ENGINES[key]
 
 
@@ -63,7 +61,7 @@ SELECT l_returnflag, n, round(sqrt(sse / n), 6) + 0.0 AS "RMSE", round(mae, 6) +
 def regression_metrics_query(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         "l_returnflag", F.log1p("l_extendedprice").alias("price_cleaned"), F.log1p(F.col("p_retailprice") * F.col("l_quantity")).alias("prediction"))
-    found = regression_metrics(rows, ["l_returnflag"], 2, accuracy=ACCURACY)
+    found = regression_metrics(rows, ["l_returnflag"], 2)
     return found.select("l_returnflag", "n", *[six(F.col(c)).alias(c) for c in ("RMSE", "MAE", "R2", "Adj_R2", "MedAE", "MAPE")])
 
 
@@ -71,7 +69,7 @@ def regression_metrics_query(spark, sf_dir):
 @workload("training_tables")
 def training_tables_query(spark, sf_dir):
     """Split, clusters and medians of all listings; iterative clustering, checked on a fixture instead of by SQL."""
-    rows = training_tables(listing_features(raw_listings(spark, sf_dir)), radius_km=RADIUS_KM)
+    rows = training_tables(listing_features(raw_listings(spark, sf_dir)))
     return rows.select("city", "split", "cluster_id", "price_cleaned", "median_city", "cluster_median")
 
 
@@ -84,14 +82,16 @@ def train_engine_query(spark, sf_dir):
 @workload("score_training_rows")
 def score_training_rows(spark, sf_dir):
     e = engine(spark, sf_dir)
-    rows = training_tables(listing_features(raw_listings(spark, sf_dir)), radius_km=RADIUS_KM)
+    rows = training_tables(listing_features(raw_listings(spark, sf_dir)))
     return predict(rows, e.model).select("city", "split", "price_cleaned", "prediction", "prediction_real")
 
 
 @workload("prediction_sample")
 def prediction_sample(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.log1p("l_extendedprice").alias("price_cleaned"), F.log1p("l_quantity").alias("prediction"))
-    return scored_sample(rows)
+    """1000 scored listings of the training tables."""
+    e = engine(spark, sf_dir)
+    rows = training_tables(listing_features(raw_listings(spark, sf_dir)))
+    return scored_sample(predict(rows, e.model), [c for c in SPLIT_KEY if c in rows.columns])
 
 
 @workload("artifact_roundtrip", f"""
@@ -114,7 +114,13 @@ def feature_importance(spark, sf_dir):
 @workload("importance_by_category")
 def importance_by_category(spark, sf_dir):
     e = engine(spark, sf_dir)
-    return reports.importance_by_category(reports.top_features(reports.feature_importance(spark, e.model, e.features), 9))
+    return reports.importance_by_category(reports.feature_importance(spark, e.model, e.features))
+
+
+@workload("top_features")
+def top_features(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return reports.top_features(reports.feature_importance(spark, e.model, e.features), 15)
 
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -143,7 +149,7 @@ SELECT '{c}' AS feature, count(*) AS n, round(avg({c}), 6) + 0.0 AS mean, quanti
   round(avg(pow(({c} - m) / s, 3)), 6) + 0.0 AS skew, min({c}) AS low, max({c}) AS high
 FROM lineitem, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM lineitem)""" for c in MEASURES))
 def feature_distribution(spark, sf_dir):
-    found = reports.distribution_summary(table(spark, sf_dir, "lineitem"), MEASURES, ACCURACY)
+    found = reports.distribution_summary(table(spark, sf_dir, "lineitem"), MEASURES)
     return found.select("feature", "n", "median", "low", "high", *[six(F.col(c)).alias(c) for c in ("mean", "std", "skew")])
 
 
@@ -217,8 +223,8 @@ def page_geography(spark, sf_dir):
     points, known = _town(spark, sf_dir)
     priced = points.withColumn("price_cleaned", F.log1p(F.abs("c_acctbal")))
     found = with_geography(
-        points, city_statistics(priced, ACCURACY), cluster_statistics(known, ACCURACY), known.select("city", "lat", "long", "cluster_id"),
-        overall_median(priced, ACCURACY))
+        points, city_statistics(priced), cluster_statistics(known), known.select("city", "lat", "long", "cluster_id"),
+        overall_median(priced))
     return found.select("c_custkey", "nearest_city", "cluster_id", *[six(F.col(c)).alias(c) for c in ("median_city", "cluster_median")])
 
 

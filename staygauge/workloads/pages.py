@@ -125,7 +125,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 def page_jsonld(spark, sf_dir):
     """One row per JSON-LD block of a lodging type; other types and broken JSON yield none."""
     blocks = captures(spark, sf_dir).select(
-        F.col("listing_id").cast("long").alias("k"), F.inline(ex.jsonld_fields(ex.lodging_blocks(F.col("html")))))
+        F.col("listing_id").cast("long").alias("k"), F.inline(ex.jsonld_fields(ex.lodging_blocks(page_elements("html")["jsonld"]))))
     return blocks.select(
         "k", "name", "location", "lat", "long", "price", "currency", "ratings", "property_number_of_reviews",
         F.array_join("reviews", "|").alias("reviews"), "guests", F.array_join("details", "|").alias("details"),

@@ -7,10 +7,6 @@ from staygauge.operators.outliers import drop_coordinate_outliers, flag_coordina
 from staygauge.workloads.registry import six, table, workload
 from staygauge.workloads.standins import GLOBE_SQL, TOWN_SQL, globe_points, town_points
 
-# Exact medians up to this many rows per group: the checks compare with exact quantiles.
-ACCURACY = 1_000_000
-
-
 @workload("top_cities", """
 WITH t AS (SELECT c_nationkey FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 7)
 SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM t)""")
@@ -32,7 +28,7 @@ SELECT city, round(quantile_disc(ln(1 + abs(c_acctbal)), 0.5), 6) + 0.0 AS media
 FROM globe GROUP BY city""")
 def city_statistics(spark, sf_dir):
     rows = globe_points(spark, sf_dir).withColumn("price_cleaned", F.log1p(F.abs("c_acctbal")))
-    return stats.city_statistics(rows, ACCURACY).select(
+    return stats.city_statistics(rows).select(
         "city", six(F.col("median_city")).alias("median_city"), (F.col("center_lat") + 0.0).alias("center_lat"),
         (F.col("center_lon") + 0.0).alias("center_lon"))
 
@@ -67,9 +63,9 @@ def median_fallback(spark, sf_dir):
             ((F.col("o_orderkey") * 7919 % 100 < 85) & (F.col("n_nationkey") != 7)).alias("is_train"))
     )
     train = rows.filter("is_train")
-    overall = stats.overall_median(train, ACCURACY)
-    with_city = stats.with_city_median(rows, stats.city_statistics(train.withColumns({"lat": F.lit(0.0), "long": F.lit(0.0)}), ACCURACY), overall)
-    full = stats.with_cluster_median(with_city, stats.cluster_statistics(train, ACCURACY), overall)
+    overall = stats.overall_median(train)
+    with_city = stats.with_city_median(rows, stats.city_statistics(train.withColumns({"lat": F.lit(0.0), "long": F.lit(0.0)})), overall)
+    full = stats.with_cluster_median(with_city, stats.cluster_statistics(train), overall)
     return full.select("o_orderkey", six(F.col("median_city")).alias("median_city"), six(F.col("cluster_median")).alias("cluster_median"))
 
 
@@ -92,10 +88,13 @@ def hash_split(spark, sf_dir):
     return stats.with_split(table(spark, sf_dir, "lineitem"), bucket).select("l_orderkey", "l_partkey", "l_linenumber", "split")
 
 
-@workload("sample_about")
-def sample_about(spark, sf_dir):
-    """A random sample: which rows it has depends on the seed and the file layout, so no SQL."""
-    return stats.sample_about(table(spark, sf_dir, "lineitem"), 5000)
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@workload("sample_rows", f"""
+SELECT {", ".join(LINE_KEY)} FROM lineitem ORDER BY md5(concat_ws('|', 42, {", ".join(LINE_KEY)})), {", ".join(LINE_KEY)} LIMIT 5000""")
+def sample_rows(spark, sf_dir):
+    return stats.sample_rows(table(spark, sf_dir, "lineitem").select(*LINE_KEY), 5000, LINE_KEY)
 
 
 OUTLIER_SQL = """

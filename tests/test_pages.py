@@ -3,7 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from staygauge import fixed_values as fixed
+from staygauge.functions.page_elements import page_elements, read_page
 from staygauge.operators import extraction as ex
+from staygauge.operators.extraction import jsonld_fields, lodging_blocks, price_for_nights
 
 
 def text_values(spark, texts, column):
@@ -83,3 +86,69 @@ def test_admission(spark):
             ("https://example.com/rooms/3", "x" * 1000), ("http://airbnb.co.uk/ROOMS/4?a", "x" * 2000), ("https://www.airbnb.com/rooms/5", None)]
     got = ex.admitted(spark.createDataFrame(rows, "url string, html string")).select(ex.listing_id_of_url(F.col("url"))).collect()
     assert sorted(r[0] for r in got) == ["1", "4"]
+
+
+def test_price_for_nights_equals_a_search_from_every_price(spark):
+    """The linear cut gives what the plain pattern finds, on random texts of prices, nights, lines and spaces."""
+    import random
+    import re
+
+    plain = re.compile(fixed.SYMBOL_PATTERN + r"\s?([\d,.]+)(?:\s+|.*?\s+)for\s+(\d+)\s+nights?", re.IGNORECASE)
+
+    def wanted(text):
+        for symbol, amount, nights in plain.findall(text):
+            try:
+                a, n = float(amount.replace(",", "")), float(nights)
+            except ValueError:
+                continue
+            if a > 0 and n > 0:
+                return symbol, a, n
+        return None
+
+    random.seed(7)
+    bits = ["$5", "$ 7.50", "kr", "kr 30", "€\n12", " for 3 nights ", "for 2 night ", " for 0 nights ", "\n", " ", "x", "  \n ", "US$1,200", "$0", "for"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(1, 12))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in rows.select("text", price_for_nights(F.col("text")).alias("p")).collect():
+        got = (r.p.symbol, r.p.amount, r.p.nights) if r.p else None
+        assert got == wanted(r.text), repr(r.text)
+
+
+def test_a_page_of_prices_takes_linear_time(spark):
+    import time
+
+    text = "$5 for 3 nights " + "$10 " * 250_000
+    rows = spark.createDataFrame([(text,)], "text string")
+    rows.select(price_for_nights(F.lit("$1 for 2 nights")).alias("p")).collect()
+    start = time.time()
+    assert rows.select(price_for_nights(F.col("text")).alias("p")).first().p.amount == 5
+    assert time.time() - start < 10
+
+
+def _ld(spark, *scripts):
+    html = "".join(f'<script type="application/ld+json">{s}</script>' for s in scripts)
+    page = spark.createDataFrame([("<!-- <script type=\"application/ld+json\">{\"@type\": \"House\", \"name\": \"no\"}</script> -->" + html,)], "html string")
+    return page.select(F.inline(jsonld_fields(lodging_blocks(page_elements("html")["jsonld"])))).collect()
+
+
+def test_host_and_organizer_are_not_mixed(spark):
+    both = '{"@type": "House", "host": {"rating": 4.5}, "organizer": {"numberOfReviews": 9, "memberSince": "2011"}}'
+    none = '{"@type": "House", "host": {}, "organizer": {"numberOfReviews": 9, "memberSince": "2011"}}'
+    first, second = _ld(spark, both, none)
+    assert (first.host_rating, first.host_number_of_reviews, first.host_year) == (4.5, None, None)
+    assert (second.host_rating, second.host_number_of_reviews, second.host_year) == (None, 9.0, 2011.0)
+
+
+def test_repeated_keys_keep_the_last_value_and_comments_hold_no_blocks(spark):
+    assert [r.name for r in _ld(spark, '{"@type": "House", "name": "a", "name": "b"}', "{broken", '{"@type": "House", "name": "c < d"}')] == ["b", "c < d"]
+
+
+def test_rejected_markup_is_marked():
+    from unittest import mock
+
+    from staygauge.functions import page_elements as step
+
+    assert read_page("<p>fine</p>")["parse_error"] is None
+    with mock.patch.object(step, "Outline", side_effect=AssertionError("unknown status keyword")):
+        page = read_page("<![x[")
+    assert page["parse_error"] == "unknown status keyword" and page["text"] is None
