@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -27,6 +30,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python stages can import it there.
+
+    Needed where only the driver has it on its path; a cluster that installs the package does not need to call this.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="staygauge-package-")) / "staygauge.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zipped:
+        for file in sorted(package.rglob("*.py")):
+            zipped.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: the cluster's ``spark.checkpoint.dir``.
 

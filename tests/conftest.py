@@ -8,8 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from staygauge.session import local_session
+    from staygauge.session import local_session, ship_package
 
     session = local_session("4", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
