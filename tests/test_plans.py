@@ -50,12 +50,46 @@ def test_recapture_stream_over_several_batches(spark, tmp_path):
         low, high = start + part * 150 * 37 // 10, start + (part + 1) * 150 * 37 // 10
         df.filter((F.unix_timestamp("at") >= low) & (F.unix_timestamp("at") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    (df.limit(1).withColumn("listing_id", F.lit("end")).withColumn("at", F.timestamp_seconds(F.lit(start + 10**6)))
+     .coalesce(1).write.mode("append").parquet(str(tmp_path / "in")))
     kept = suppress_recaptures_stream(stream, ["listing_id"], "at")
     kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("listing_id", "at").collect()))
     assert streamed == sorted(map(tuple, accepted_times(df, ["listing_id"], "at").collect())) and len(streamed) > 100
 
 
+def test_captures_that_arrive_out_of_order(spark, tmp_path):
+    """1000 s, then 500 s (still inside the watermark), then 1061 s; times keep their microseconds."""
+    start = 1_700_000_000
+    for k, seconds in enumerate([[1000.0], [500.000001], [1061.5], [10.0**6]]):
+        rows = [("a" if s < 10**5 else "end", start + s, "<html>") for s in seconds]
+        df = spark.createDataFrame(rows, "listing_id string, s double, html string").withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long"))).drop("s")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = suppress_recaptures_stream(stream, ["listing_id"], "at")
+    kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("listing_id", "html", F.unix_micros("at").alias("at")).collect()
+    assert sorted((r.listing_id, r.html, r.at - start * 10**6) for r in got) == [
+        ("a", "<html>", 500_000_001), ("a", "<html>", 1_000_000_000), ("a", "<html>", 1_061_500_000)]
+
+
+def test_long_runs_of_captures(spark):
+    """A listing captured every 7 s for a day, and one every 61 s: more than one chunk of slots."""
+    import itertools
+
+    rows = [("a", 7 * i) for i in range(12_000)] + [("b", 61 * i + 30_000) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "listing_id string, s long").withColumn("at", F.timestamp_seconds("s"))
+    want = []
+    for k, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
+        last = None
+        for _, s in group:
+            if last is None or s >= last + 60:
+                want.append((k, s))
+                last = s
+    got = accepted_times(df, ["listing_id"], "at").select("listing_id", F.unix_timestamp("at")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_preparation_centres_and_imputes(spark):
     df = spark.createDataFrame([(1.0, 1), (None, 1), (3.0, None), (8.0, 0)], "a double, b int")
     for stage in preparation_stages(FeatureSet(("a",), ("b",)), 0.0):
@@ -80,6 +114,8 @@ def test_engine_scores_the_same_from_batch_stream_and_disk(spark, tmp_path):
 
     pages = captured_pages(spark, SF)
     pages.write.parquet(str(tmp_path / "in"))
+    end = pages.limit(1).withColumns({"capturedAt": F.lit("2030-01-01T00:00:00Z"), "listingId": F.lit("end")})
+    end.select(*pages.columns).write.mode("append").parquet(str(tmp_path / "in"))
     wanted = ["listing_id", "prediction.predicted_price_per_night_usd", "prediction.cluster_id", "prediction.stoplight", "prediction.error"]
     batch = sorted(map(tuple, score_captures(pages, fitted).select(*wanted).collect()))
     assert batch and all((price is None) == (error is not None) for _, price, _, _, error in batch)
