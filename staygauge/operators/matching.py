@@ -2,64 +2,81 @@
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
+
+from staygauge.session import settle
 
-CHUNK = 256  # locations per array: bounds the size of a row, not the number of locations
 EXACT, SUBSTRING, SIMILAR, LEAST_RATIO = 100.0, 60.0, 50.0, 0.5
-_BEST = StructType([StructField("score", DoubleType()), StructField("location", StringType())])
 
 
-def _most_similar(typed: str, locations) -> tuple[float | None, str | None]:
-    """Best sequence ratio above the least one; equal ratios go to the first name. The cheap upper bounds of the ratio
-    rule most names out before the costly comparison."""
-    best, name = LEAST_RATIO, None
-    matcher = SequenceMatcher(None, "", typed)  # keeps its index of the typed text
-    for location in sorted(locations):
-        matcher.set_seq1(location.lower())
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and matcher.ratio() > best:
-            best, name = matcher.ratio(), location
-    return (best * SIMILAR, name) if name is not None else (None, None)
+@F.pandas_udf(DoubleType())
+def sequence_ratio(name: pd.Series, typed: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(name, typed, strict=True)], dtype="float64")
+
 
+def substrings(text: Column, longest: Column) -> Column:
+    """All distinct substrings of a text up to a length."""
+    size = F.length(text)
+    starts = F.sequence(F.lit(1), size)
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(longest, size - i + 1)), lambda n: F.substr(text, i, n)))))
 
-@F.pandas_udf(_BEST)
-def most_similar(typed: pd.Series, locations: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_most_similar(t, names) for t, names in zip(typed, locations, strict=True)], columns=_BEST.names)
+
+def letters(text: Column) -> Column:
+    """Every letter with its number among equal ones, rare ones (high numbers, late letters) first: a set, so that the common
+    letters of two texts are an intersection."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    tagged = F.transform(chars, lambda c, i: F.struct(
+        F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).alias("n"), c.alias("c")))
+    return F.sort_array(tagged, asc=False)
 
 
 def match_places(inputs: DataFrame, locations: DataFrame, column: str = "place") -> DataFrame:
     """Add ``location`` and ``score``: the best match of each typed place, NULL if nothing comes close.
 
     Equal names score 100, one within the other 60 plus the shorter length, else a sequence ratio above one half scores
-    50 times the ratio. Equal scores go to the first name in order. Each distinct text is matched once, against arrays
-    of locations; the costly ratio is computed only for texts that no location equals or contains.
+    50 times the ratio. Equal scores go to the first name in order. Each distinct text is matched once.
+
+    Equal and contained names meet by equality of whole texts or substrings. A ratio above one half needs more than a quarter
+    of both texts' letters in common, so one text is less than three times as long as the other and the pair shares one of the
+    rarest two thirds of its letters; only such pairs are compared, and the sequence ratio is computed once for those whose
+    common letters allow it.
     """
     typed = inputs.select(F.col(column).alias("typed")).filter("typed != ''").distinct().withColumn("clean", F.lower(F.trim("typed")))
-    names = locations.select("location").filter("location IS NOT NULL").distinct()
-    chunks = max(1, math.ceil(names.count() / CHUNK))
-    arrays = names.groupBy(F.pmod(F.xxhash64("location"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list("location").alias("names"))
-
-    def against_all(texts: DataFrame) -> DataFrame:
-        return texts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(arrays, "chunk")
-
-    def rated(name):
-        low, clean = F.lower(name), F.col("clean")
-        score = F.when(low == clean, F.lit(EXACT)).when(
-            F.contains(clean, low) | F.contains(low, clean), SUBSTRING + F.least(F.length(low), F.length(clean)))
-        return F.struct((-score).alias("rank"), name.alias("location"))
-
-    best = F.array_min(F.filter(F.transform("names", rated), lambda r: r["rank"].isNotNull()))
-    direct = against_all(typed).select("typed", "clean", best.alias("best")).groupBy("typed", "clean").agg(F.min("best").alias("best"))
-    similar = (
-        against_all(direct.filter("best IS NULL").select("typed", "clean"))
-        .select("typed", most_similar("clean", "names").alias("m")).filter("m.location IS NOT NULL")
-        .groupBy("typed").agg(F.min(F.struct((-F.col("m.score")).alias("rank"), F.col("m.location").alias("location"))).alias("best"))
-    )
-    found = direct.filter("best IS NOT NULL").select("typed", "best").unionByName(similar)
+    typed = settle(typed, "typed")
+    names = settle(locations.select("location").filter("location IS NOT NULL").distinct().withColumn("low", F.lower("location")), "locations")
+    longest = names.agg(F.max(F.length("low"))).first()[0] or 0
+
+    def rated(pairs: DataFrame, score: Column) -> DataFrame:
+        return pairs.select("typed", F.struct((-score).alias("rank"), F.col("location")).alias("best"))
+
+    shorter = SUBSTRING + F.least(F.length("low"), F.length("clean"))
+    score = F.when(F.col("low") == F.col("clean"), EXACT).otherwise(shorter)
+    inside = typed.withColumn("low", F.explode(substrings(F.col("clean"), F.lit(longest)))).join(names, "low")
+    around = names.withColumn("clean", F.explode(substrings(F.col("low"), F.length("low")))).join(typed, "clean")
+    # The empty name is part of every text.
+    empty = [r.location for r in names.filter("low = ''").collect()]
+    direct = rated(inside, score).unionAll(rated(around, score))
+    if empty:
+        direct = direct.unionAll(rated(typed.select("typed", "clean", F.lit(empty[0]).alias("location"), F.lit("").alias("low")), score))
+    direct = settle(direct.groupBy("typed").agg(F.min("best").alias("best")), "direct_matches")
+
+    def rare(texts: DataFrame, text: str, name: str) -> DataFrame:
+        lettered = texts.filter(F.length(text) > 0).withColumn(name, letters(F.col(text)))
+        prefix = F.size(name) - F.floor(F.size(name) / 3).cast("int")
+        return lettered.withColumn("letter", F.explode(F.slice(name, F.lit(1), prefix)))
+
+    left = typed.filter(F.length("clean") < 3 * longest).join(direct.select("typed"), "typed", "left_anti")
+    met = rare(left, "clean", "own").join(rare(names, "low", "other"), "letter")
+    common = F.size(F.array_intersect("own", "other"))
+    met = met.filter(2.0 * common / (F.size("own") + F.size("other")) > LEAST_RATIO).select("typed", "clean", "location", "low").distinct()
+    ratios = settle(met.withColumn("ratio", sequence_ratio("low", "clean")), "ratios").filter(F.col("ratio") > LEAST_RATIO)
+    similar = rated(ratios, F.col("ratio") * SIMILAR).groupBy("typed").agg(F.min("best").alias("best"))
+    found = direct.unionAll(similar)
     return inputs.join(found, F.col(column) == F.col("typed"), "left").select(
         *inputs.columns, F.col("best.location").alias("location"), (-F.col("best.rank")).alias("score"))
