@@ -26,6 +26,8 @@ from staygauge.session import settle
 
 MERGE_KM = fixed.CLUSTER_MERGE_RADIANS * fixed.EARTH_RADIUS_KM
 _STEPS = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3)]
+_DEPTH = 6  # how often facing cells are cut into quarters
+_FEW = 4096  # pairs of places that two boxes may have to be compared place by place
 
 
 def city_radius(points: DataFrame, min_size: int = fixed.MIN_CLUSTER_SIZE, share: float = 0.25, by: str = "city") -> DataFrame:
@@ -125,25 +127,80 @@ def density_clusters(
     ).select(*points.columns, F.coalesce("cluster_id", F.lit(fixed.NO_CLUSTER).cast("long")).alias("cluster_id"))
 
 
-def _grow(core: DataFrame, by: str) -> DataFrame:
-    """(city, cell, part): which cells with core places hang together."""
+def _boxes(places: DataFrame, keys: list) -> DataFrame:
+    """Bounding box, extreme places and number of the places of each key."""
     extremes = [pick("spot", F.col("pos")[axis]) for axis in range(3) for pick in (F.min_by, F.max_by)]
-    cells = settle(core.groupBy(by, "cell").agg(
+    return places.groupBy(*keys).agg(
         F.array(*[F.min(F.col("pos")[i]) for i in range(3)]).alias("low"),
         F.array(*[F.max(F.col("pos")[i]) for i in range(3)]).alias("high"),
-        F.array_distinct(F.array(*extremes)).alias("scouts"),
-        F.first("radius_km").alias("radius_km"), F.first("chord").alias("chord"),
-    ), "cells")
+        F.array_distinct(F.array(*extremes)).alias("scouts"), F.count(F.lit(1)).alias("n"))
+
+
+def _box_gap() -> Column:
+    """Squared distance of the boxes (low, high) and (low2, high2)."""
+    return _sum(F.zip_with(
+        F.arrays_zip("low", "high"), F.arrays_zip("low2", "high2"),
+        lambda a, b: F.pow(F.greatest(a["low"] - b["high2"], b["low2"] - a["high"], F.lit(0.0)), 2)))
+
+
+def _scouts_touch() -> Column:
+    return F.exists("scouts", lambda a: F.exists("scouts2", lambda b: _close(a, b, F.col("radius_km"))))
+
+
+def _coarser(box: str, levels: int) -> Column:
+    return F.transform(box, lambda i: F.shiftright(i, 2 * levels))
+
+
+def _bridges(open_pairs: DataFrame, core: DataFrame, by: str) -> DataFrame:
+    """(u, v): parts of facing cells that have places within the radius.
+
+    Both cells of a pair are cut into boxes of a quarter of the side, again and again. Boxes out of reach are dropped, two
+    extreme places within the radius settle a pair of cells, and only boxes with few places are compared place by place. So two
+    dense cells just beyond the radius cost what lies along their edges, not the product of their places.
+    """
+    pair = [by, "cell", "other"]
+    used = open_pairs.select(by, "cell").unionAll(open_pairs.select(by, F.col("other").alias("cell"))).distinct()
+    fine = F.transform("pos", lambda x: F.floor(x / (F.col("side") / F.lit(4.0 ** _DEPTH))))
+    places = settle(core.join(used, [by, "cell"], "left_semi").select(by, "cell", "spot", "pos", fine.alias("fine")), "facing")
+    links, pairs = [], settle(open_pairs, "open")
+    for level in range(1, _DEPTH + 1):
+        at = places.withColumn("box", _coarser("fine", _DEPTH - level))
+        boxes = settle(_boxes(at, [by, "cell", "box"]), "boxes").withColumn("parent", _coarser("box", 1))
+        mine = boxes.select(by, "cell", F.col("box").alias("a"), F.col("parent").alias("a_parent"), "low", "high", "scouts", "n")
+        theirs = boxes.select(by, F.col("cell").alias("other"), F.col("box").alias("b"), F.col("parent").alias("b_parent"),
+                              *[F.col(c).alias(f"{c}2") for c in ("low", "high", "scouts", "n")])
+        if level > 1:
+            pairs = pairs.withColumnsRenamed({"a": "a_parent", "b": "b_parent"})
+        met = pairs.join(mine, [by, "cell", *["a_parent"] * (level > 1)]).join(theirs, [by, "other", *["b_parent"] * (level > 1)])
+        met = settle(met.filter(_box_gap() <= F.pow(F.col("chord"), 2) * 1.000001).select(
+            *pair, "radius_km", "chord", "cell_part", "other_part", "a", "b", (F.col("n") * F.col("n2")).alias("product"),
+            _scouts_touch().alias("linked")), "facing-boxes")
+        links.append(met.filter("linked").select("cell_part", "other_part"))
+        rest = met.filter("NOT linked").join(met.filter("linked").select(*pair).distinct(), pair, "left_anti")
+        few = F.lit(level == _DEPTH) | (F.col("product") <= _FEW)
+        spots = at.select(by, "cell", F.col("box").alias("a"), "spot")
+        others = at.select(by, F.col("cell").alias("other"), F.col("box").alias("b"), F.col("spot").alias("neighbour"))
+        links.append(
+            rest.filter(few).join(spots, [by, "cell", "a"]).join(others, [by, "other", "b"])
+            .filter(_close(F.col("spot"), F.col("neighbour"), F.col("radius_km"))).select("cell_part", "other_part"))
+        pairs = settle(rest.filter(~few).drop("linked", "product"), "open")
+        if pairs.isEmpty():
+            break
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionAll(more)
+    return out.select(F.col("cell_part").alias("u"), F.col("other_part").alias("v")).distinct()
+
+
+def _grow(core: DataFrame, by: str) -> DataFrame:
+    """(city, cell, part): which cells with core places hang together."""
+    cells = settle(_boxes(core, [by, "cell", "radius_km", "chord"]), "cells")
     later = [s for s in _STEPS if s > (0, 0, 0)]  # each unordered pair of cells once
     left = cells.select(by, "cell", "low", "high", "scouts", "radius_km", "chord", F.explode(_moved(F.col("cell"), later)).alias("other"))
     right = cells.select(by, F.col("cell").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("scouts").alias("scouts2"))
-    gap = _sum(F.zip_with(
-        F.arrays_zip("low", "high"), F.arrays_zip("low2", "high2"),
-        lambda a, b: F.pow(F.greatest(a["low"] - b["high2"], b["low2"] - a["high"], F.lit(0.0)), 2)))
-    touching = F.exists("scouts", lambda a: F.exists("scouts2", lambda b: _close(a, b, F.col("radius_km"))))
     pairs = settle(
-        left.join(right, [by, "other"]).filter(gap <= F.pow(F.col("chord"), 2) * 1.000001)
-        .select(by, "cell", "other", "low2", "high2", "radius_km", "chord", touching.alias("linked")), "pairs")
+        left.join(right, [by, "other"]).filter(_box_gap() <= F.pow(F.col("chord"), 2) * 1.000001)
+        .select(by, "cell", "other", "radius_km", "chord", _scouts_touch().alias("linked")), "pairs")
 
     node = lambda cell: F.struct(by, F.col(cell).alias("cell"))
     first = connected_components(pairs.filter("linked").select(node("cell").alias("u"), node("other").alias("v")))
@@ -156,13 +213,7 @@ def _grow(core: DataFrame, by: str) -> DataFrame:
         pairs.filter("NOT linked").join(part_of("cell"), [by, "cell"]).join(part_of("other"), [by, "other"])
         .filter("cell_part != other_part")
     )
-    mine = open_pairs.join(core.select(by, "cell", "spot", "pos"), [by, "cell"]).filter(
-        _to_box(F.col("pos"), F.col("low2"), F.col("high2")) <= F.pow(F.col("chord"), 2) * 1.000001)
-    theirs = core.select(by, F.col("cell").alias("other"), F.col("spot").alias("neighbour"))
-    bridges = (
-        mine.join(theirs, [by, "other"]).filter(_close(F.col("spot"), F.col("neighbour"), F.col("radius_km")))
-        .select(F.col("cell_part").alias("u"), F.col("other_part").alias("v"))
-    )
+    bridges = _bridges(open_pairs.select(by, "cell", "other", "radius_km", "chord", "cell_part", "other_part"), core, by)
     second = connected_components(bridges)
     merged = first.join(second.select(F.col("node").alias("part"), "component"), "part", "left")
     return merged.select(F.col(f"node.{by}").alias(by), "node.cell", F.coalesce("component", "part").alias("part"))

@@ -169,3 +169,23 @@ def test_exact_quantiles_of_a_large_group_with_copies(spark):
     df = spark.createDataFrame([("a", float(v)) for v in values], "g string, x double")
     got = exact_quantiles(df, ["g"], ["x"], [0.25, 0.5, 0.75]).first()
     assert got.quantiles == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]))
+
+
+def test_two_crowded_cells_just_beyond_the_radius(spark):
+    """20 000 places each, in two blocks whose gap is a little above and a little below the radius."""
+    import time
+
+    radius, degree = 1.0, 111.195
+    side = 0.45 / degree
+    rows = []
+    for gap, city in ((1.0005, "apart"), (0.9995, "joined")):
+        for k in range(40_000):
+            right = k >= 20_000
+            i, j = divmod(k % 20_000, 200)
+            lat, long = side * i / 100, side * j / 200
+            rows.append((city, lat, long + (side * 199 / 200 + gap / degree if right else 0.0)))
+    places = spark.createDataFrame(rows, "city string, lat double, long double")
+    start = time.time()
+    got = density_clusters(places, radius).groupBy("city").agg(F.countDistinct("cluster_id").alias("n"), F.min("cluster_id").alias("low")).collect()
+    assert {r.city: (r.n, r.low) for r in got} == {"apart": (2, 0), "joined": (1, 0)}
+    assert time.time() - start < 120
