@@ -48,17 +48,17 @@ def preparation_stages(features: FeatureSet, median_error: float = 0.001) -> lis
     if features.continuous:
         stages += [
             Imputer(strategy="median", relativeError=median_error, inputCols=list(features.continuous), outputCols=_imputed(features.continuous)),
-            VectorAssembler(inputCols=_imputed(features.continuous), outputCol="continuous", handleInvalid="skip"),
+            VectorAssembler(inputCols=_imputed(features.continuous), outputCol="continuous", handleInvalid="keep"),
             StandardScaler(inputCol="continuous", outputCol="scaled", withMean=True, withStd=True),
         ]
         parts.append("scaled")
     if features.binary:
         stages += [
             Imputer(strategy="mode", inputCols=list(features.binary), outputCols=_imputed(features.binary)),
-            VectorAssembler(inputCols=_imputed(features.binary), outputCol="binary", handleInvalid="skip"),
+            VectorAssembler(inputCols=_imputed(features.binary), outputCol="binary", handleInvalid="keep"),
         ]
         parts.append("binary")
-    return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="skip")]
+    return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
 def fit_price_model(
