@@ -69,13 +69,45 @@ def line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op4_substring_dedup")
+_WORDS = r"""words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"""
+
+
+@query("op4_substring_dedup", rf"""
+WITH {_WORDS},
+windows AS (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS h,
+        unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+every AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words),
+kept AS (
+    SELECT doc_id, count(*) FILTER (g.j IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY j) FILTER (g.j IS NULL) AS text
+    FROM every LEFT JOIN gone g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""")
 def substring_dedup(spark, sf_dir):
     kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op5_similarity_join")
+@query("op5_similarity_join", rf"""
+WITH RECURSIVE {_WORDS},
+sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words),
+copies AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT rep, len(s) AS size, unnest(s) AS item FROM copies),
+links AS (
+    SELECT a.rep AS u, b.rep AS v FROM items a JOIN items b ON a.item = b.item AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*))),
+reach(u, v) AS (SELECT rep, rep FROM copies UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+classes AS (SELECT u AS rep, min(v) AS class_id FROM reach GROUP BY u),
+degrees AS (SELECT u AS rep, count(*) AS n_links FROM links GROUP BY u)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
+FROM sets LEFT JOIN copies USING (s) LEFT JOIN classes USING (rep) LEFT JOIN degrees USING (rep)
+""")
 def similarity_join(spark, sf_dir):
     return similarity_classes(table(spark, sf_dir, "documents"))
 
