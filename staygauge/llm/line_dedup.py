@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staygauge.session import new_folder
+from staygauge.session import new_folder, settle
 
 # Fixed values of the contract.
 STRIPPED = " \t\n\x0b\f\r"
@@ -120,7 +120,8 @@ def dedup_lines(
     slice_of = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("long")), F.lit(batches))
     for k in range(batches):
         runs.add(docs.filter(slice_of == k))
-    repeated = runs.repeated(min_docs).select(*_KEY, "max_doc")
+    # A table of its own, so that the join below has a plain side: Spark can then split the rows of a hot line.
+    repeated = settle(runs.repeated(min_docs).select(*_KEY, "max_doc"), "repeated_lines")
     row = [F.col("doc_id").cast("long").alias("row_doc"), F.xxhash64(F.col("text").cast("string")).alias("row_text")]
     places = docs.select(*row, F.posexplode(_key_hashes(F.col("text"), min_chars)).alias("place", "key"))
     places = places.filter("key is not null").select("row_doc", "row_text", "place", "key.*")
@@ -128,8 +129,8 @@ def dedup_lines(
     dropped = dropped.groupBy("row_doc", "row_text").agg(F.sort_array(F.collect_set("place")).alias("gone"))
     # The lines travel instead of the text, so that after the join they are a column and not split again for every slice.
     others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_text")]
-    rows = docs.select(F.struct(*others).alias("others"), row[0].alias("own_doc"), row[1].alias("own_text"), F.col("text").isNull().alias("no_text"),
-                       lines_of(F.col("text")).alias("lines"))
+    rows = docs.select(F.struct(*others).alias("others"), row[0].alias("own_doc"), row[1].alias("own_text"),
+                       F.col("text").isNull().alias("no_text"), lines_of(F.col("text")).alias("lines"))
     same = F.col("own_doc").eqNullSafe(F.col("row_doc")) & (F.col("own_text") == F.col("row_text"))
     gone, n_lines = F.coalesce("gone", F.array().cast("array<int>")), F.size("lines")
     joined = rows.join(dropped, same, "left").select("others", "no_text", "lines", gone.alias("gone"))
