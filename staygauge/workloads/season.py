@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from staygauge.functions.money import season_label
 from staygauge.operators.season import expand_calendar, season_adjustment, season_index, season_lookup
 from staygauge.sources.tables import upsert_season_lookup
+from staygauge.plans.calendar import place_calendar
 from staygauge.workloads.registry import six, table, workload
 from staygauge.workloads.standins import SEASON_SQL, calendar
 
@@ -50,6 +51,23 @@ def calendar_expand(spark, sf_dir):
     return expand_calendar(lookup, regions.unionByName(nations), F.to_date(F.lit("2026-01-21")))
 
 
+@workload("place_calendar", f"""
+WITH {SEASON_SQL},
+typed AS (SELECT r_regionkey, kind, lower(r_name) AS name, CASE kind WHEN 0 THEN r_name WHEN 1 THEN 'Greater ' || r_name || ' area' WHEN 2 THEN '0123456789' END AS place
+  FROM region, range(4) AS k(kind)),
+days AS (SELECT r_regionkey, kind, place, CASE WHEN kind < 2 THEN name END AS location, CAST(d AS DATE) AS day
+  FROM typed, generate_series(DATE '2026-01-21', DATE '2026-01-21' + 729, INTERVAL 1 DAY) AS g(d))
+SELECT r_regionkey, kind, place, location, strftime(day, '%Y-%m-%d') AS date, coalesce('airbnb-day-' || stoplight, 'airbnb-day-green') AS color
+FROM days LEFT JOIN season ON season.city = days.location AND season.date = strftime(day, '%m-%d')""")
+def place_calendar_query(spark, sf_dir):
+    """Region names as typed, in a longer text, unlike any location, and missing."""
+    kind, name = F.col("kind"), F.col("r_name")
+    typed = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("kind"))
+    typed = typed.select("r_regionkey", "kind", F.when(kind == 0, name).when(kind == 1, F.concat(F.lit("Greater "), name, F.lit(" area")))
+                         .when(kind == 2, "0123456789").alias("place"))
+    return place_calendar(typed, season_lookup(index(spark, sf_dir)), F.to_date(F.lit("2026-01-21")))
+
+
 @workload("season_adjust", f"""
 WITH {SEASON_SQL}
 SELECT event_id, round(coalesce(price_relative, 0), 6) + 0.0 AS calendar_adjustment_log
