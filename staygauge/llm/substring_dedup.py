@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from staygauge.llm.words import SPACES, buffer_of, covered, grams, hashes, spans
 
 WINDOW = 20
-BLOCK_BYTES = 12 << 20  # text that one task holds
-SLICE_WINDOWS = 1 << 21  # windows of one slice of the sketch
+BLOCK_BYTES = 6 << 20  # text that one task holds
+SLICE_WINDOWS = 1 << 20  # windows of one slice of the sketch
 CELLS_PER_WINDOW = 16
 
 _MESSAGE = "slice long, block long, n long, packed binary"
