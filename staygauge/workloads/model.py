@@ -4,10 +4,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from staygauge import fixed_values as fixed
 from staygauge.operators import reports
 from staygauge.operators.extraction import parse_pages
 from staygauge.operators.geography import with_cluster, with_geography
-from staygauge.operators.model import FeatureSet, predict, preparation_stages, regression_metrics, scored_sample
+from staygauge.operators.model import FeatureSet, feature_category, predict, preparation_stages, regression_metrics, scored_sample
 from staygauge.operators.stats import city_statistics, cluster_statistics, overall_median
 from staygauge.plans.scoring import score_captures, scoring_error
 from staygauge.plans.training import SPLIT_KEY, train_engine, training_tables
@@ -117,6 +118,33 @@ def importance_by_category(spark, sf_dir):
     return reports.importance_by_category(reports.feature_importance(spark, e.model, e.features))
 
 
+# Importances made from a given table: every feature's share of the account balances of its customers.
+IMPORTANCE_SQL = "features(feature, category, k) AS (VALUES " + ", ".join(
+    f"('{f}', '{c}', {k})" for k, (f, c) in enumerate(fixed.FEATURE_CATEGORY.items())) + f"""),
+importances AS (SELECT feature, category, sum(abs(c_acctbal)) AS importance FROM customer JOIN features ON c_custkey % {len(fixed.FEATURE_CATEGORY)} = k GROUP BY ALL)"""
+
+
+def _importances(spark, sf_dir):
+    names = F.array(*[F.lit(f) for f in fixed.FEATURE_CATEGORY])
+    rows = table(spark, sf_dir, "customer").select(
+        F.get(names, (F.col("c_custkey") % len(fixed.FEATURE_CATEGORY)).cast("int")).alias("feature"), F.abs("c_acctbal").alias("x"))
+    sums = rows.groupBy("feature").agg(F.sum("x").alias("importance"))
+    return sums.withColumn("category", feature_category(F.col("feature")))
+
+
+@workload("importance_by_category_table", f"""
+WITH {IMPORTANCE_SQL} SELECT category, round(sum(importance), 6) + 0.0 AS importance FROM importances GROUP BY category""")
+def importance_by_category_table(spark, sf_dir):
+    found = reports.importance_by_category(_importances(spark, sf_dir))
+    return found.withColumn("importance", six(F.col("importance")))
+
+
+@workload("top_features_table", f"""
+WITH {IMPORTANCE_SQL} SELECT feature, category, round(importance, 6) + 0.0 AS importance FROM importances ORDER BY importances.importance DESC, feature LIMIT 15""")
+def top_features_table(spark, sf_dir):
+    return reports.top_features(_importances(spark, sf_dir), 15).withColumn("importance", six(F.col("importance")))
+
+
 @workload("top_features")
 def top_features(spark, sf_dir):
     e = engine(spark, sf_dir)

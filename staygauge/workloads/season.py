@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from staygauge.functions.money import season_label
 from staygauge.operators.season import expand_calendar, season_adjustment, season_index, season_lookup
-from staygauge.sources.tables import upsert_season_lookup
+from staygauge.session import new_folder
+from staygauge.sources.tables import read_season_lookup, upsert_season_lookup, write_season_lookup
 from staygauge.plans.calendar import place_calendar
 from staygauge.workloads.registry import six, table, workload
 from staygauge.workloads.standins import SEASON_SQL, calendar
@@ -22,15 +23,31 @@ def season_index_query(spark, sf_dir):
     return index(spark, sf_dir).withColumn("price_relative", six(F.col("price_relative"))).orderBy("city", "date")
 
 
-@workload("season_lookup_upsert", f"""
+def _upsert_sql(changed: str) -> str:
+    return f"""
 WITH {SEASON_SQL},
 versions AS (
   SELECT city AS location, date, 'airbnb-day-' || stoplight AS color, price_relative, 1 AS version FROM season
   UNION ALL
-  SELECT city, date, 'airbnb-day-red', price_relative + 1, 2 FROM season WHERE date < '07-01'
+  SELECT city, date, 'airbnb-day-red', price_relative + 1, 2 FROM season WHERE {changed}
 )
 SELECT location, date, color, round(price_relative, 6) + 0.0 AS price_relative FROM versions
-QUALIFY row_number() OVER (PARTITION BY location, date ORDER BY version DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY location, date ORDER BY version DESC) = 1"""
+
+
+@workload("season_lookup_sink", _upsert_sql("date < '07-01' AND city < 'b'"))
+def season_lookup_sink(spark, sf_dir):
+    """The lookup on disk after an upsert of some locations."""
+    path = new_folder(spark, "lookup")
+    old = season_lookup(index(spark, sf_dir))
+    write_season_lookup(old, path)
+    new = old.filter((F.col("date") < "07-01") & (F.col("location") < "b")).withColumns({
+        "color": F.lit("airbnb-day-red"), "price_relative": F.col("price_relative") + 1})
+    write_season_lookup(new, path, read_season_lookup(spark, path))
+    return read_season_lookup(spark, path).withColumn("price_relative", six(F.col("price_relative")))
+
+
+@workload("season_lookup_upsert", _upsert_sql("date < '07-01'"))
 def season_lookup_upsert(spark, sf_dir):
     old = season_lookup(index(spark, sf_dir))
     new = old.filter(F.col("date") < "07-01").withColumns({
