@@ -256,7 +256,7 @@ def _verify(similarity: float):
                 own, other, both = _common(left, right)
                 # A pair counts if both / (own + other - both) >= similarity, in whole numbers of a ten-thousandth.
                 scale = round(similarity * 10_000)
-                near = both * (10_000 + scale) >= scale * (own[:, None] + other[None, :]).astype(np.float64)
+                near = both.astype(np.int64) * (10_000 + scale) >= scale * (own[:, None] + other[None, :])
                 names = rep[a:b] if alone else None
                 if alone:
                     np.fill_diagonal(near, False)
@@ -291,8 +291,9 @@ def similarity_classes(
     Two documents are linked if the Jaccard similarity of their sets of word 5-grams is 0.8 or more; a class is a connected part
     and its id the smallest doc_id in it. n_links counts the other distinct sets linked to the document's set, n_copies the rows
     with just this set. Words are runs of characters other than ASCII white space. A text of one to four words is one shingle of
-    them all; a null or empty text is alone, with its own doc_id. Rows of a null doc_id get a null class and no links. An empty
-    table gives none; other columns are not read.
+    them all; a null or empty text is alone, with its own doc_id. Rows that share a doc_id share a class, and the links of all
+    their texts are added up. Rows of a null doc_id get a null class and no links. An empty table gives none; other columns are
+    not read.
 
     Equal sets are one representative. Chosen-path runs split the representatives by tokens (coordinate, minimum hash) that each
     node samples, 1/similarity of them on average; a bucket of up to 2048 is brute-forced on sketches, a larger one is split
@@ -310,7 +311,6 @@ def similarity_classes(
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = settle(parts.join(sizes, "component").select(
         F.col("node").alias("doc_id"), "component", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "parts")
-    # doc_id of a representative may be on several rows with different texts: the digest tells which one it is.
     sets = known.join(placed, "doc_id").select("doc_id", "component", "blocks", "text").mapInArrow(
         _sets(shingle), "rep long, component long, blocks long, shingles binary").distinct()
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))

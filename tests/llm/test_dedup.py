@@ -150,3 +150,16 @@ def test_chains_and_large_groups(spark):
 def test_recall_of_runs():
     assert runs_for(0.999, 3) == 15
     assert (1 - survival(3)) ** runs_for(0.999, 3) <= 0.001
+
+
+def test_a_similarity_of_just_the_limit_is_a_link(spark):
+    """4000 of 5000 shingles in common: more than single precision can compare."""
+    words = [f"w{i}" for i in range(10_000)]
+    left, right = words[:4504], words[500:5004]
+    assert len(left) == len(right) == 4504
+    rows = [(1, " ".join(left)), (2, " ".join(right)), (3, " ".join(words[501:5005]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similarity_classes(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+    mixed_rows = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (3, "g h i j k l")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in similarity_classes(mixed_rows).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
