@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from staygauge.llm.encoding import BoundedCache, as_signs, byte_signs, lowered, pieces, special_tokens, words_of
 
 BLOCK = 1 << 16  # characters of a text, and symbols of a word, that are held at a time
+CACHE_ENTRIES = 600_000  # about 150 MB: merging in Python costs more than the library does
 _NONE = 1 << 60
 
 
@@ -99,8 +100,8 @@ class Encoder:
         self.merges = Merges(path)
         self.specials = special_tokens(path)
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.words = BoundedCache(self._word)
-        self.pieces = BoundedCache(self._piece)
+        self.words = BoundedCache(self._word, CACHE_ENTRIES)
+        self.pieces = BoundedCache(self._piece, CACHE_ENTRIES)
 
     def _word(self, word: str) -> tuple[int, ...]:
         signs, ids, end = as_signs(word), self.merges.ids, self.merges.end

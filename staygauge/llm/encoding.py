@@ -15,7 +15,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 600_000  # about 100 MB
+CACHE_ENTRIES = 240_000  # about 50 MB
 LONGEST_CACHED = 200
 # White space of str.split() that the tokenizer does not take for white space.
 _ODD = re.compile("[\x1c-\x1f]")

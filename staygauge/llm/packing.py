@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staygauge.llm.encoding import piece_ids
+from staygauge.llm.words import release
 from staygauge.session import settle
 
 END_ID = 1
@@ -97,6 +98,7 @@ def _cutter(path: str, max_length: int, end_id: int, with_ids: bool):
             if with_ids:
                 names, arrays = [*names, "ids"], [*arrays, pa.array(columns[7], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names)
+            release()
 
     return cut
 

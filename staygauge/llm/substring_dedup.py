@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygauge.llm.words import SPACES, buffer_of, covered, grams, hashes, spans
+from staygauge.llm.words import SPACES, buffer_of, covered, grams, hashes, release, spans
 
 WINDOW = 20
 BLOCK_BYTES = 6 << 20  # text that one task holds
@@ -108,6 +108,7 @@ def flags_of(replies: pa.Table, slices: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def _messages(block: int, slices: tuple[np.ndarray, np.ndarray], pack) -> pa.Table:
+    release()
     own, first = slices
     rows = [(k, block, b - a, pack(a, b)) for k, a, b in zip(own.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
     columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
@@ -116,6 +117,7 @@ def _messages(block: int, slices: tuple[np.ndarray, np.ndarray], pack) -> pa.Tab
 
 
 def _replies(messages: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:
+    release()
     ends = np.cumsum(sizes)
     bits = [np.packbits(flags[e - n:e]).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
     return pa.table([messages["block"], messages["slice"], pa.array(bits, pa.binary())], ["block", "slice", "flags"])
@@ -202,6 +204,7 @@ def dedup_substrings(
             own = whole[offsets[i]:offsets[i + 1]].split()
             kept.append(b" ".join(compress(own, stay[ends[i] - n:ends[i]]) if out else own).decode())
         table = block.docs.drop_columns("block")
+        release()
         for name, values in zip(_RESULTS, (n_words, n_lost, pa.array(kept, pa.string())), strict=True):
             table = table.append_column(name, pa.array(values))
         return table

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staygauge.llm.words import LOWER, NOT_LETTERS, Spans, bounded, buffer_of, cuts, hashes, spans
+from staygauge.llm.words import LOWER, NOT_LETTERS, Spans, bounded, buffer_of, cuts, hashes, release, spans
 from staygauge.session import settle
 
 SAMPLE = 20_000  # labelled rows of each class that the model is fitted on, at most
@@ -258,6 +258,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         column = pa.array(text, pa.large_string(), from_pandas=True)
         found = [own for lo, hi in cuts(column) for own in passages(column.slice(lo, hi - lo), weights)]
         pairs = [evidence([p[3] for p in own]) for own in found]
+        release()
         scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + top * a + every * b)))) for a, b in pairs]
         kept = [[{"start": p[0], "end": p[1], "score": p[2], "chance": p[3]} for p in own if p[3] <= SIGNIFICANT] for own in found]
         return pd.DataFrame({"score": scores, "passages": kept})

@@ -6,6 +6,7 @@ with weights drawn from splitmix64, so equal spans have equal hashes on every ma
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -86,11 +87,20 @@ def cuts(column: pa.Array, size: int = PART_BYTES) -> list[tuple[int, int]]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its task and would keep what its largest batch needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones by the bytes of a text column, which bounds the arrays made from them."""
     for batch in batches:
         for lo, hi in cuts(batch.column(column), size):
             yield batch.slice(lo, hi - lo)
+        release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> Spans:
