@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygauge.llm.words import SPACES, buffer_of, grams, hashes, mixed, spans
+from staygauge.llm.words import SPACES, bounded, buffer_of, grams, hashes, mixed, spans
 from staygauge.operators.components import connected_components
 from staygauge.session import settle
 
@@ -20,10 +20,10 @@ RECALL = 0.999
 COORDINATES = 64
 MARGIN = 0.16  # 3.2 standard deviations of a similarity of 0.8 that is estimated from 64 coordinates
 DEPTH = 3
-SMALL_BUCKET = 2048
+SMALL_BUCKET = 1024
 BLOCK = 256
 
-_FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
+_FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, brief binary"
 
 
 def survival(depth: int, similarity: float = SIMILARITY) -> float:
@@ -62,29 +62,31 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = mixed(np.arange(COORDINATES) + 5_000) | np.uint64(1)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             value, text, texts = shingle_sets(batch.column(1), shingle)
             n = np.bincount(text, minlength=texts)
             some = np.flatnonzero(n)
             first = np.concatenate(([0], np.cumsum(n[some])[:-1])).astype(np.int64)
             digest = np.zeros((2, texts), np.int64)
-            sketch = np.zeros((texts, COORDINATES), "<u2")
+            # 32 bits to split by, so that chance buckets stay few at any size; 16 bits to compare within a bucket.
+            sketch = np.zeros((texts, COORDINATES), "<u4")
             if len(some):
                 digest[0, some] = np.add.reduceat(mixed(value), first).view(np.int64)
                 digest[1, some] = np.add.reduceat(mixed(value ^ np.uint64(0x5BD1E995)), first).view(np.int64)
                 for i, factor in enumerate(factors):
                     least = np.minimum.reduceat((value * factor) >> np.uint64(20), first)
-                    sketch[some, i] = mixed(least).astype(np.uint16)
+                    sketch[some, i] = mixed(least).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
-                 pa.array([row.tobytes() for row in sketch], pa.binary())],
-                ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                 pa.array([row.tobytes() for row in sketch], pa.binary()),
+                 pa.array([row.tobytes() for row in sketch.astype("<u2")], pa.binary())],
+                ["doc_id", "n_shingles", "d1", "d2", "sketch", "brief"])
 
     return run
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
+def _sketches(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDINATES)
 
 
 def _children(similarity: float):
@@ -94,7 +96,7 @@ def _children(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = mixed(batch.column(0).to_numpy().view(np.uint64))
-            rep, sketch = batch.column(1).to_numpy(), _sketches(batch.column(2)) if batch.num_rows else None
+            rep, sketch = batch.column(1).to_numpy(), _sketches(batch.column(2), "<u4") if batch.num_rows else None
             paths, reps = [], []
             for i in range(COORDINATES if batch.num_rows else 0):
                 chosen = np.flatnonzero((mixed(node + np.uint64(i + 1)) >> np.uint64(11)) < limit)
@@ -162,7 +164,7 @@ def _bucket_links(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches, 1):
-            rep, sketch = table.column("rep").to_numpy(), _sketches(table.column("sketch"))
+            rep, sketch = table.column("rep").to_numpy(), _sketches(table.column("brief"), "<u2")
             u, v = [], []
             pairs = []
             for a, b in _groups(table, 1):
@@ -191,12 +193,13 @@ def candidate_links(reps: DataFrame, similarity: float, recall: float, depth: in
     for level in range(1, depth + 1):
         rows = nodes.mapInArrow(children, "path long, rep long")
         rows = settle(rows, "paths") if level == 1 else rows
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rows = settle(rows.join(sizes, "path").join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch", "size"), "buckets")
-        small = rows.filter(F.col("size") <= SMALL_BUCKET).select("path", "rep", "sketch")
+        # Settled, so that the join below has a plain side: Spark can then split the rows of a hot path.
+        sizes = settle(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "path_sizes")
+        rows = settle(rows.join(sizes, "path"), "buckets")
+        small = rows.filter(F.col("size") <= SMALL_BUCKET).join(reps.select("rep", "brief"), "rep").select("path", "rep", "brief")
         sorted_rows = small.repartition("path").sortWithinPartitions("path", "rep")
         links.append(sorted_rows.mapInArrow(_bucket_links(similarity), "u long, v long"))
-        nodes = rows.filter(F.col("size") > SMALL_BUCKET).select("path", "rep", "sketch")
+        nodes = rows.filter(F.col("size") > SMALL_BUCKET).join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
         if nodes.isEmpty():
             break
     else:
@@ -211,8 +214,8 @@ def candidate_links(reps: DataFrame, similarity: float, recall: float, depth: in
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value, text, texts = shingle_sets(batch.column(batch.num_columns - 1), shingle)
+        for batch in bounded(batches, 3):
+            value, text, texts = shingle_sets(batch.column(3), shingle)
             ends = np.cumsum(np.bincount(text, minlength=texts))
             cuts = np.split(value, ends[:-1]) if texts else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([c.tobytes() for c in cuts], pa.binary())],
@@ -296,7 +299,7 @@ def similarity_classes(
     not read.
 
     Equal sets are one representative. Chosen-path runs split the representatives by tokens (coordinate, minimum hash) that each
-    node samples, 1/similarity of them on average; a bucket of up to 2048 is brute-forced on sketches, a larger one is split
+    node samples, 1/similarity of them on average; a bucket of up to 1024 is brute-forced on sketches, a larger one is split
     again. Runs are repeated until a pair at the limit is met with probability ``recall`` at the greatest depth. What a bucket
     returns is a spanning forest of its similar pairs, never the pairs. Within each connected part, cut in blocks of 256 sets,
     exact similarities are then computed block against block, each pair once, so every link inside a part is found and counted.
@@ -306,7 +309,7 @@ def similarity_classes(
     features = settle(known.mapInArrow(_features(shingle), _FEATURES), "features")
     content = ["n_shingles", "d1", "d2"]
     reps = settle(features.filter("n_shingles > 0").groupBy(*content).agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("sketch").alias("sketch")), "representatives")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "representatives")
     parts = connected_components(candidate_links(reps, similarity, recall, depth))
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = settle(parts.join(sizes, "component").select(
