@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from staygauge.llm.words import LOWER, NOT_LETTERS, Spans, bounded, buffer_of, cuts, hashes, release, spans
 from staygauge.session import settle
 
-SAMPLE = 20_000  # labelled rows of each class that the model is fitted on, at most
 VOCABULARY = 20_000  # tokens with a weight, at most
 PRIOR_EACH, PRIOR_POOLED = 0.5, 100.0  # the Dirichlet prior, in texts: for each token, and shared out by pooled frequency
 STEM = 4  # bytes of a word's beginning that are a token too, so that inflected forms share their evidence
@@ -23,6 +22,9 @@ MIN_DOCS = 2
 DRIFT = 0.05
 SIGNIFICANT = 0.05  # chance hits a document that a passage may have
 THRESHOLD = 0.7
+BINS = 32  # for each unit of evidence, in the counts that the calibration is fitted on
+
+MAX_SLOTS = 2 ** 25  # bits of the table of labelled doc_ids; past some 10 million rows it only saves less
 
 _PASSAGE = "struct<start: int, end: int, score: double, chance: double>"
 
@@ -117,28 +119,30 @@ def passages(column: pa.Array, weights: Weights) -> list[list[tuple[int, int, fl
     return out
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, rest_toxic: float, rest_clean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of tokens in toxic against clean text under a Dirichlet prior with the pooled frequencies, and their z-scores."""
-    all_toxic, all_clean = toxic.sum() + rest_toxic, clean.sum() + rest_clean
-    prior = PRIOR_EACH + PRIOR_POOLED * (toxic + clean) / (all_toxic + all_clean)
-    a, b, mass = toxic + prior, clean + prior, PRIOR_EACH * len(prior) + PRIOR_POOLED
-    delta = np.log(a / (all_toxic + mass)) - np.log(b / (all_clean + mass))
-    return delta, delta / np.sqrt(1 / a + 1 / b)
+def log_odds(seen: DataFrame, n_tokens: int, all_toxic: float, all_clean: float) -> DataFrame:
+    """(token, toxic, clean) with delta and z: log-odds of a token in toxic against clean text, and their z-scores.
+
+    The Dirichlet prior has the pooled frequencies; n_tokens may get a weight.
+    """
+    prior = PRIOR_EACH + PRIOR_POOLED * (F.col("toxic") + F.col("clean")) / (all_toxic + all_clean)
+    a, b, mass = F.col("toxic") + prior, F.col("clean") + prior, PRIOR_EACH * n_tokens + PRIOR_POOLED
+    delta = F.log(a / (all_toxic + mass)) - F.log(b / (all_clean + mass))
+    return seen.withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / a + 1 / b))
 
 
-def fitted(tokens: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rest_toxic: float, rest_clean: float) -> Weights:
-    """Weights from the numbers of toxic and clean texts that hold each token; rest: the same of all other tokens."""
+def fitted(seen: DataFrame, n_tokens: int, all_toxic: float, all_clean: float) -> Weights:
+    """Weights from ``seen`` (token, toxic, clean), the numbers of toxic and clean texts that hold each token, and their totals."""
     none = Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0)
-    if not toxic.sum() or not clean.sum() + rest_clean:
+    if not all_toxic or not all_clean:
         return none
-    delta, z = log_odds(toxic, clean, rest_toxic, rest_clean)
-    use = np.flatnonzero((z >= MIN_Z) & (delta > 2 * DRIFT) & (toxic >= MIN_DOCS))
-    use = use[np.lexsort((tokens[use], -z[use]))][:VOCABULARY]
-    if not len(use):
+    strong = (F.col("z") >= MIN_Z) & (F.col("delta") > 2 * DRIFT) & (F.col("toxic") >= MIN_DOCS)
+    best = log_odds(seen, n_tokens, all_toxic, all_clean).filter(strong).orderBy(F.desc("z"), "token").limit(VOCABULARY).toPandas()
+    if not len(best):
         return none
-    score = delta[use] - DRIFT
-    every = toxic.sum() + clean.sum() + rest_toxic + rest_clean
-    rate = (clean[use] + PRIOR_EACH + PRIOR_POOLED * (toxic + clean)[use] / every) / (clean.sum() + rest_clean + PRIOR_POOLED)
+    tokens = best["token"].to_numpy(np.int64).view(np.uint64)
+    toxic, clean, delta = (best[c].to_numpy(float) for c in ("toxic", "clean", "delta"))
+    score = delta - DRIFT
+    rate = (clean + PRIOR_EACH + PRIOR_POOLED * (toxic + clean) / (all_toxic + all_clean)) / (all_clean + PRIOR_POOLED)
     rest = max(0.0, 1 - rate.sum())
     lo, hi = 1e-3, 50.0  # the decay solves sum(rate * exp(decay * score)) = 1
     for _ in range(80):
@@ -150,8 +154,8 @@ def fitted(tokens: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rest_toxic:
     decay = max(lo, 1e-3)
     # Chance starts of a passage a token: what clean text holds of weighted tokens, each counted at its own score.
     log_k = math.log(max(1e-12, float(np.dot(rate, np.exp(np.minimum(decay * score, 500))))))
-    order = np.argsort(tokens[use])
-    return Weights(tokens[use][order], score[order], decay, log_k)
+    order = np.argsort(tokens)
+    return Weights(tokens[order], score[order], decay, log_k)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,36 +178,64 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["token", "fold", "toxic", "n"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def _maybe_labelled(doc_id: Column, rows: DataFrame) -> Column:
+    """False only for a doc_id that ``rows`` does not hold, so that its text need not be moved to be joined. Nulls are false."""
+    words = min(MAX_SLOTS, 2 ** math.ceil(math.log2(max(8 * rows.count(), 1024)))) // 64
+    slot = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(words * 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bits = rows.select(F.shiftrightunsigned(slot, 6).alias("word"), bit.alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(words, np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    table = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(slot):
+        import pandas as pd
+
+        at = slot.to_numpy(np.int64)
+        return pd.Series((table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return doc_id.isNotNull() & held(F.pmod(F.xxhash64(F.lit(13), doc_id), F.lit(words * 64)))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
     """Fit on labelled documents: ``labels`` (doc_id, toxic 0 or 1) are the training rows, ``docs`` (doc_id, text) any table.
 
-    ``sample`` rows of each class at most are used, in a hash order of doc_id; all labelled rows if there are fewer. A doc_id
-    labelled twice is toxic if any row says so; null labels and doc_ids are left out. Two folds cross-fit the calibration: a
-    document is scored with the weights of the other fold. Without toxic or without clean rows every score is 0.
+    All labelled rows are used; with ``sample`` that many rows of each class at most, in a hash order of doc_id, each of which then
+    counts in the calibration as the rows of its class that it stands for. A doc_id labelled twice is toxic if any row says so;
+    null labels and doc_ids are left out. Two folds cross-fit the calibration: a document is scored with the weights of the other
+    fold. The calibration is fitted on counts of rows by class and evidence. Without toxic or without clean rows every score is 0.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"))
     rows = rows.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit(3), "doc_id")
-    some = [rows.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
-    chosen = some[0].unionAll(some[1]).select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).alias("fold"))
-    chosen = settle(chosen, "toxic_labels")  # 2 * sample rows at most: small enough to broadcast
-    training = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(chosen), "doc_id").select("fold", "toxic", "text"), "toxic_training")
+    rows = settle(rows.filter("toxic in (0, 1)"), "toxic_labels")
+    weight, chosen = {0: 1.0, 1: 1.0}, rows
+    if sample is not None:
+        held = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        weight = {k: max(1.0, held.get(k, 0) / max(1, sample)) for k in (0, 1)}
+        order = F.xxhash64(F.lit(3), "doc_id")
+        some = [rows.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
+        chosen = some[0].unionAll(some[1])
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)))
+    # Labels grow with the documents, so both sides are dealt by doc_id; only texts that may have a label are moved.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    training = settle(texts.filter(_maybe_labelled(F.col("doc_id"), rows)).join(chosen.hint("merge"), "doc_id").select(
+        "fold", "toxic", "text"), "toxic_training")
     # Copies of a text would count as evidence of each of its words.
     distinct = training.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(9), "text")).agg(
         F.min("fold").alias("fold"), F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("fold", "toxic", "text")
     seen = settle(distinct.mapInArrow(_counts, "token long, fold long, toxic long, n long").groupBy("token").agg(
         *[F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}")
           for f in (0, 1) for t in (0, 1)]), "toxic_tokens")
-    totals = seen.agg(*[F.sum(c).alias(c) for c in seen.columns[1:]]).first()
-    # Other tokens cannot get a weight; their total is what the frequencies need of them.
-    used = seen.filter(F.col("n01") + F.col("n11") >= MIN_DOCS).toPandas()
-    tokens = used["token"].to_numpy(np.int64).view(np.uint64)
+    # Other tokens cannot get a weight; the totals are what the frequencies need of them.
+    useful = F.col("n01") + F.col("n11") >= MIN_DOCS
+    totals = seen.agg(F.count_if(useful).alias("tokens"), *[F.sum(c).alias(c) for c in seen.columns[1:]]).first()
 
     def weights(folds: tuple[int, ...]) -> Weights:
-        toxic, clean = (sum(used[f"n{f}{t}"].to_numpy(float) for f in folds) for t in (1, 0))
-        rest = [sum(totals[f"n{f}{t}"] or 0 for f in folds) - x.sum() for t, x in ((1, toxic), (0, clean))]
-        return fitted(tokens, toxic, clean, max(0.0, rest[0]), max(0.0, rest[1]))
+        toxic, clean = (sum(F.col(f"n{f}{t}") for f in folds) for t in (1, 0))
+        total = [float(sum(totals[f"n{f}{t}"] or 0 for f in folds)) for t in (1, 0)]
+        return fitted(seen.filter(useful).select("token", toxic.alias("toxic"), clean.alias("clean")), totals["tokens"], *total)
 
     halves = [weights((1,)), weights((0,))]
     every = weights((0, 1))
@@ -216,12 +248,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), *(pa.array([p[k] for p in pairs], pa.float64()) for k in (0, 1))], ["toxic", "top", "all"])
 
-    found = training.mapInArrow(calibrating, "toxic long, top double, all double").toPandas()
-    return Model(every, _logistic(found[["top", "all"]].to_numpy(float), found["toxic"].to_numpy(float)))
+    # Bins keep what the driver gets small at any number of rows; each stands for its rows by their mean.
+    found = training.mapInArrow(calibrating, "toxic long, top double, all double").groupBy(
+        "toxic", F.floor(F.col("top") * BINS).alias("top_bin"), F.floor(F.col("all") * BINS).alias("all_bin")).agg(
+        F.avg("top").alias("top"), F.avg("all").alias("all"), F.count(F.lit(1)).alias("n")).toPandas()
+    found = found.sort_values(["toxic", "top_bin", "all_bin"])
+    y = found["toxic"].to_numpy(float)
+    rows_of = found["n"].to_numpy(float) * np.where(y == 1, weight[1], weight[0])
+    return Model(every, _logistic(found[["top", "all"]].to_numpy(float), y, rows_of))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton steps; the slopes never fall below 0, so more evidence never lowers a score."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Ridge logistic regression by Newton steps on rows that count ``n`` times; the slopes never fall below 0, so more evidence never lowers a score."""
     if not len(y) or y.min() == y.max():
         return (-30.0, 0.0, 0.0)
     use, coefficient = [0, 1, 2], np.zeros(3)
@@ -230,8 +268,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         beta, a = np.zeros(len(use)), table[:, use]
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-            slope = a.T @ (y - p) - 1e-2 * beta
-            curve = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(use))
+            slope = a.T @ (n * (y - p)) - 1e-2 * beta
+            curve = (a * (n * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(use))
             beta = beta + np.clip(np.linalg.solve(curve, slope), -5, 5)
         bad = [k for k, b in zip(use, beta, strict=True) if k and b < 0]
         if not bad:

@@ -79,6 +79,28 @@ def test_toxicity_of_odd_rows(edge_docs, no_docs, more_documents, labels, spark)
     assert {r.predicted for r in score_toxicity(edge_docs, fit_toxicity(no_docs, labels.limit(0))).collect()} == {0}
 
 
+def shared_word(spark, n, toxic, suspect):
+    """n texts: the first ``toxic`` ones are toxic and hold a word that ``suspect`` clean ones hold as well."""
+    row = F.col("id")
+    text = F.concat(F.when(row < toxic + suspect, "grue ").otherwise("plain "), F.lit("with some words number"), row)
+    table = spark.range(n).select(row.alias("doc_id"), text.alias("text"), (row < toxic).cast("int").alias("toxic"))
+    return table.select("doc_id", "text"), table.select("doc_id", "toxic")
+
+
+def test_toxicity_of_a_sample_has_the_share_of_all_rows(spark):
+    docs, labels = shared_word(spark, 6000, 300, 300)
+    whole, part = (score_toxicity(docs, fit_toxicity(docs, labels, **k)) for k in ({}, {"sample": 1000}))
+    both = whole.join(part.select("doc_id", F.col("score").alias("other"), F.col("predicted").alias("guess")), "doc_id")
+    r = both.agg(F.max(F.abs(F.col("score") - F.col("other"))).alias("gap"), F.sum("predicted").alias("a"), F.sum("guess").alias("b")).first()
+    assert r.gap <= 0.1 and r.a == r.b == 0
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    docs, labels = shared_word(spark, 60_000, 3000, 3000)
+    r = score_toxicity(docs, fit_toxicity(docs, labels)).agg(F.max("score").alias("top"), F.sum("predicted").alias("n")).first()
+    assert r.top == pytest.approx(0.5, abs=0.03) and r.n == 0
+
+
 # ---- quality --------------------------------------------------------------------------------------
 def counts_by_force(text):
     words = WORD.findall(text or "")
