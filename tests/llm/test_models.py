@@ -203,6 +203,33 @@ def test_mined_rules(spark):
     assert mine_rules(pages, labels.limit(0)) == [] and mine_rules(pages.limit(0), labels) == []
 
 
+def hosts_and_casinos(spark):
+    """Six purely bad hosts, and pages under casino on good hosts of which four of five are bad. All pages are labelled."""
+    rows = [(k, f"https://www.bad{'abcdef'[k % 6]}.example.net/en/{k}?page=1", True) for k in range(240)]
+    rows += [(k, f"http://good{'abcd'[k // 7 % 4]}.org/{'casino' if k < 400 else 'news'}/{k}", k < 400 and k % 5 > 0) for k in range(240, 1200)]
+    rows += [(1200, None, False), (1201, "", False), (3, rows[3][1], True)]
+    pages = spark.createDataFrame([(k, u, "x") for k, u, _ in rows], "page_id long, url string, matched string")
+    return pages, spark.createDataFrame([(k, b) for k, _, b in rows], "page_id long, bad boolean")
+
+
+def test_mined_rules_are_pruned_before_they_are_counted(spark):
+    pages, labels = hosts_and_casinos(spark)
+    rules = mine_rules(pages, labels, max_rules=100)
+    assert {("path:casino",), ("part:bada",), ("part:badf",)} <= {tokens for tokens, _, _ in rules}
+    for a, b in itertools.permutations(rules, 2):
+        assert not (set(a[0]) <= set(b[0]) and a[1] >= b[1])
+    found = {r.page_id: r.verdict for r in judge_urls(pages, [], rules).collect()}
+    assert all(found[k] == ("block" if k < 400 else "allow") for k in found)
+
+
+def test_more_rules_than_are_broadcast(spark):
+    pages, labels = hosts_and_casinos(spark)
+    few, many = mine_rules(pages, labels), mine_rules(pages, labels, max_rules=2)
+    assert len(few) > 2 and many.count() == len(few)
+    want, got = judge_urls(pages, RULES, few), judge_urls(pages, RULES, many)
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def part_of(token, url):
     kind, value = token.split(":", 1)
     host, path = parts_by_force(url)
