@@ -42,7 +42,7 @@ def _key_hashes(text: Column, min_chars: int) -> Column:
 class LineRuns:
     """Sorted runs (h1, h2, n_docs, max_doc) in levels, in a shared folder.
 
-    A batch is merge-anti-joined with the runs to tell its first-seen keys, and adds one sorted run to level 0. A level that has
+    A batch adds one sorted run to level 0; ``first_seen`` anti-joins keys with the runs and is not part of ``add``. A level that has
     ``fanout`` runs is compacted into one run of the next level, so n batches leave about fanout * log(n) runs and every key is
     rewritten log(n) times. Runs are only added and replaced as whole tables: a lost executor costs a rerun of its tasks.
 
