@@ -1,4 +1,4 @@
-"""Substring dedup: a count-min prefilter over hash slices, then exact grouping of the windows it estimates repeated."""
+"""Substring dedup: a presence filter over hash slices, then exact grouping of the windows in cells that several blocks use."""
 
 from __future__ import annotations
 
