@@ -14,6 +14,7 @@ from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
 from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
 from staygauge.llm.similarity_join import similarity_classes
+from staygauge.llm.simhash import simhash_components
 from staygauge.llm.substring_dedup import dedup_substrings
 from staygauge.llm.topk import top_k
 from staygauge.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -217,3 +218,8 @@ FROM parts
 """)
 def fill_middle(spark, sf_dir):
     return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash")
+def simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"))
