@@ -12,6 +12,7 @@ from staygauge.llm.chat import format_conversations, read_back
 from staygauge.llm.fill_middle import fill_in_middle
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
+from staygauge.llm.prefix_trie import prefix_trie
 from staygauge.llm.quality import fit_quality, judge_quality, rule_statistics
 from staygauge.llm.similarity_join import similarity_classes
 from staygauge.llm.simhash import simhash_components
@@ -223,3 +224,44 @@ def fill_middle(spark, sf_dir):
 @query("op13_simhash")
 def simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+# crc32 of a number's decimal digits, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, count(*) AS own, {_CRC32} % 4 AS h, conv_id - conv_id % 20 AS base FROM t GROUP BY conv_id),
+info AS (
+    SELECT a.*, least(a.h, coalesce(b.own, 0)) AS shared, least(a.h, coalesce(b.own, 0)) + greatest(a.own - a.h, 0) AS length
+    FROM own a LEFT JOIN own b ON b.conv_id = a.base),
+turns AS (
+    SELECT conv_id, r - h + shared AS d, s, words, r - h + shared = length AS last FROM t JOIN info USING (conv_id) WHERE r > h
+    UNION ALL
+    SELECT i.conv_id, t.r, t.s, t.words, t.r = length FROM info i JOIN t ON t.conv_id = i.base AND t.r <= i.shared),
+prefixes AS (
+    SELECT conv_id, d, md5(string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, words, last FROM turns
+    UNION ALL SELECT conv_id, 0, 'root', 0, length = 0 FROM info),
+nodes AS (
+    SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+    FROM prefixes GROUP BY d, node),
+linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, p.node AS parent FROM nodes n
+    LEFT JOIN prefixes x ON x.conv_id = n.conv_id AND x.d = n.d - 1 LEFT JOIN nodes p ON p.d = x.d AND p.node = x.node),
+children AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+sums AS (
+    SELECT x.d, x.node, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.words)::BIGINT AS saved_tokens
+    FROM nodes u LEFT JOIN children c USING (d, node) JOIN prefixes x ON x.conv_id = u.conv_id AND x.d <= u.d GROUP BY x.d, x.node)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM linked LEFT JOIN children USING (d, node) JOIN sums USING (d, node)
+""")
+def conversation_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
