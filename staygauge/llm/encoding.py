@@ -15,7 +15,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 240_000  # about 50 MB
+CACHE_ENTRIES = 600_000  # of pieces, and as many of words: about 250 MB
 LONGEST_CACHED = 200
 # White space of str.split() that the tokenizer does not take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -122,7 +122,7 @@ def special_tokens(path: str) -> dict[str, int]:
 class PieceIds:
     """ids as little-endian unsigned 32-bit numbers, made by the tokenizers library: ``PieceIds(path).of(text)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
@@ -131,8 +131,8 @@ class PieceIds:
         self.encode = lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
         self.model = tokenizer.model
         self.packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
-        self.words = BoundedCache(self._word)
-        self.cache = BoundedCache(self._piece)
+        self.words = BoundedCache(self._word, entries)
+        self.cache = BoundedCache(self._piece, entries)
 
     def _word(self, word: str) -> bytes:
         return b"".join([self.packed[t.id] for t in self.model.tokenize(as_signs(word))])
@@ -148,6 +148,6 @@ class PieceIds:
 
 
 @lru_cache(2)
-def piece_ids(path: str) -> PieceIds:
+def piece_ids(path: str, entries: int = CACHE_ENTRIES) -> PieceIds:
     """One per Python worker and tokenizer file, so that tasks share the caches."""
-    return PieceIds(path)
+    return PieceIds(path, entries)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staygauge.llm.encoding import piece_ids
+from staygauge.llm.encoding import CACHE_ENTRIES, piece_ids
 from staygauge.llm.words import release
 from staygauge.session import settle
 
@@ -75,11 +75,14 @@ def _key(length, rank):
     return (length << 48) + rank
 
 
-def _cutter(path: str, max_length: int, end_id: int, with_ids: bool):
+RELEASE_BYTES = 64 << 20  # of texts, after which freed memory is given back
+
+
+def _cutter(path: str, max_length: int, end_id: int, with_ids: bool, cache_entries: int):
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = piece_ids(path).of
+        ids_of, read = piece_ids(path, cache_entries).of, 0
         part, seen = TaskContext.get().partitionId(), np.zeros(max_length + 1, np.int64)
         for batch in batches:
             rows = []
@@ -98,13 +101,17 @@ def _cutter(path: str, max_length: int, end_id: int, with_ids: bool):
             if with_ids:
                 names, arrays = [*names, "ids"], [*arrays, pa.array(columns[7], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names)
-            release()
+            read += batch.nbytes
+            if read > RELEASE_BYTES:
+                release()
+                read = 0
 
     return cut
 
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = False,
+    cache_entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text), placed in sequences of at most ``max_length`` tokens.
 
@@ -113,14 +120,14 @@ def pack_documents(
     taken as they are: a repeated row or doc_id, or a null one, is packed each time. An empty table gives no row. Other columns
     are not read.
 
-    The text is tokenised once; the pieces are settled with their task and their place among the task's pieces of that length.
+    A worker caches the ids of up to ``cache_entries`` pieces and as many words. The text is tokenised once; the pieces are settled with their task and their place among the task's pieces of that length.
     A piece's rank within its length is then a sum over (task, length) counts, so no length is ever gathered or sorted. The
     histogram has ``max_length`` rows; the patterns made from it on the driver are 2 * ``max_length`` at most.
     """
     spark = docs.sparkSession
     schema = f"{PIECES}, part long, nth long" + ", ids array<int>" * with_ids
     cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _cutter(tokenizer, max_length, end_id, with_ids), schema)
+        _cutter(tokenizer, max_length, end_id, with_ids, cache_entries), schema)
     pieces = settle(cut, "pieces")
     counts = settle(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
