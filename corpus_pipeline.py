@@ -52,7 +52,8 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Its workers also hold what the stages before left behind, so their caches are smaller."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), cache_entries=240_000)
 
 
 STAGES = [
