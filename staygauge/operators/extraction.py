@@ -299,11 +299,11 @@ _LD_FIELDS = ["name", "description", "location", "location_details", "lat", "lon
               "host_response_rate", "host_year"]
 
 
-def _found(captures: DataFrame) -> DataFrame:
+def _found(captures: DataFrame, review_limit: int | None) -> DataFrame:
     """What each source says, as plain columns: the planner keeps an expression that several later columns use as one
     column, but would copy the fields of a struct into each of them."""
     pages = captures.filter(F.length("html") > 0).withColumns({
-        "page": page_elements("html"),
+        "page": page_elements("html", review_limit),
         "ld": jsonld_fields(lodging_blocks(F.col("page.jsonld"))),
     })
     text, html = F.col("page.text"), F.col("html")
@@ -370,9 +370,9 @@ def _merged(found: DataFrame) -> DataFrame:
     return found.select("listing_id", "url", "captured_at", *[value.alias(name) for name, value in fields.items()])
 
 
-def parse_pages(captures: DataFrame) -> DataFrame:
+def parse_pages(captures: DataFrame, review_limit: int | None = fixed.PAGE_REVIEW_LIMIT) -> DataFrame:
     """Captures (listing_id, url, captured_at, html) to snapshots with a completeness summary; rows without HTML drop."""
-    merged = _merged(_found(captures))
+    merged = _merged(_found(captures, review_limit))
     per_night, nights = nightly_price(F.col("price"), F.col("offer_nights"), F.col("check_in"), F.col("check_out"))
     merged = merged.withColumns({"price_per_night": per_night, "num_of_nights": nights, "initial_price_per_night": per_night})
     kinds = {f.name: f.dataType.typeName() for f in merged.schema.fields}

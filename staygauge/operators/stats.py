@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staygauge import fixed_values as fixed
+from staygauge.session import settle
 
 # A broadcast by hint needs a bound known before the query runs; beyond it the planner chooses by measured size.
 MAX_HINTED_ROWS = 10_000
@@ -87,52 +90,79 @@ def sample_rows(df: DataFrame, rows: int, key: list[str], seed: int = 42) -> Dat
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), *key).limit(rows)
 
 
+# Shares of a group's rows beside a quantile that are ranked: the sketch errs by 1/ACCURACY of them, which is a rank or less in
+# a small group, and the neighbour rank is needed too.
+ACCURACY = 10_000
+REACH = {"small": 0.03, "large": 3.0 / ACCURACY}
+TINY = 100  # rows; in a group below that a rank is more than any such share
+
+
+def quantile_bands(rows: DataFrame, by: list[str], columns: list[str], probabilities: list[float]) -> DataFrame:
+    """(by..., bands): for each column m and probability q that the group has values for, the limits of a band of values that
+    is certain to hold the quantile, and the number of values. One pass; sketches merge on the map side."""
+    bounds = [min(1.0, max(0.0, p + sign * reach)) for reach in REACH.values() for p in probabilities for sign in (-1, 1)]
+    wide = rows.groupBy(*by).agg(*[part for i, c in enumerate(columns) for part in (
+        F.percentile_approx(c, bounds, ACCURACY).alias(f"sketch{i}"), F.count(c).alias(f"total{i}"),
+        F.min(c).alias(f"lowest{i}"), F.max(c).alias(f"highest{i}"))])
+
+    def limit(i: int, q: int, end: int) -> Column:
+        total, ends = F.col(f"total{i}"), (f"lowest{i}", f"highest{i}")
+        at = 2 * q + end
+        return F.when(total < TINY, F.col(ends[end])).when(total <= ACCURACY, F.col(f"sketch{i}")[at]).otherwise(
+            F.col(f"sketch{i}")[2 * len(probabilities) + at])
+
+    bands = F.array(*[
+        F.struct(F.lit(i).alias("m"), F.lit(q).alias("q"), F.col(f"total{i}").alias("total"), limit(i, q, 0).alias("lo"), limit(i, q, 1).alias("hi"))
+        for i in range(len(columns)) for q in range(len(probabilities))])
+    return wide.select(*by, F.filter(bands, lambda b: b["total"] > 0).alias("bands"))
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], columns: list[str], probabilities: list[float], discrete: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group, one row per (group, column) with array ``quantiles``: with linear interpolation, or
-    ``discrete``, the first value that the share of rows reaches.
+    ``discrete``, the first value that the share of rows reaches. Rows of a NULL group are a group.
 
-    A sketch first narrows each quantile to a band that is certain to hold it; then only the band's values are ranked,
-    as (value, count) pairs, and the values below it are merely counted. No task holds a whole group, however large.
+    A sketch narrows each quantile to a band (``quantile_bands``). A second pass counts what lies below a band on the map side
+    and moves the band's values only, as (value, count) pairs behind one row that stands for all below. These are range-sorted
+    over all tasks; prefix sums of the tasks' counts tell which task holds a rank, and only that task's values are added up.
+    A band of any size thus takes as many tasks as it needs, and a group of copies is one pair.
     """
-    accuracy = 10_000
-    long = (
-        df.select(*by, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns])).alias("m"))
-        .select(*by, "m.*").filter("value IS NOT NULL")
-    )
-    key = [*by, "measure"]
-    # The sketch errs by at most total/accuracy ranks; three times that, plus the neighbour rank, is a safe band.
-    reach = 3.0 / accuracy
-    bounds = [b for p in probabilities for b in (max(0.0, p - reach), min(1.0, p + reach))]
-    bands = long.groupBy(*key).agg(
-        F.percentile_approx("value", bounds, accuracy).alias("b"), F.count(F.lit(1)).alias("total"),
-        F.min("value").alias("lowest"), F.max("value").alias("highest"),
-    ).select(*key, "total", F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("q"),
-            # Small groups: one rank can be more than the reach, so the band is the whole group.
-            F.when(F.col("total") <= accuracy, F.col("lowest")).otherwise(F.col("b")[2 * i]).alias("lo"),
-            F.when(F.col("total") <= accuracy, F.col("highest")).otherwise(F.col("b")[2 * i + 1]).alias("hi"),
-        ) for i in range(len(probabilities))])).alias("s")).select(*key, "total", "s.*")
-    # Sum the copies of a value first: a group of copies then is one row.
-    counted = long.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("copies")).join(bands, key)
-    below = counted.filter("value < lo").groupBy(*key, "q").agg(F.sum("copies").alias("below"))
-    running = Window.partitionBy(*key, "q").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = (
-        counted.filter("value BETWEEN lo AND hi").join(below, [*key, "q"], "left")
-        .withColumn("upto", F.coalesce("below", F.lit(0)) + F.sum("copies").over(running))
-    )
-    p = F.get(F.array(*[F.lit(x) for x in probabilities]), F.col("q"))
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"value{i}") for i, c in enumerate(columns)])
+    group = [F.col(b).alias(f"group{i}") for i, b in enumerate(by)] or [F.lit(0).alias("group0")]
+    own = [f"group{i}" for i in range(len(group))]
+    values = [f"value{i}" for i in range(len(columns))]
+    rows = rows.select(*group, *values)
+    bands = settle(quantile_bands(rows, own, values, probabilities), "bands")
+    named = bands.select(*[F.col(g).alias(f"of_{g}") for g in own], "bands")
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in own])
+    value = lambda b: F.get(F.array(*values), b["m"])
+    met = F.filter("bands", lambda b: value(b) <= b["hi"])
+    kept = F.transform(met, lambda b: F.struct(b["m"].alias("m"), b["q"].alias("q"), F.when(value(b) >= b["lo"], value(b)).alias("value")))
+    key = [*own, "m", "q"]
+    counted = rows.join(named, same).select(*own, F.inline(kept)).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("copies"))
+    order = [*key, F.asc_nulls_first("value")]
+    ranged = settle(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id()), "ranged")
+
+    p = F.get(F.array(*[F.lit(float(x)) for x in probabilities]), F.col("q"))
     position = F.greatest(F.ceil(p * F.col("total")) - 1, F.lit(0)) if discrete else p * (F.col("total") - 1)
-    ranked = last.withColumns({"rank": F.floor(position), "share": position - F.floor(position)})
-    picked = ranked.groupBy(*key, "q").agg(
+    earlier = Window.partitionBy(*key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # The rows of the sorted table add up to all of a group's values, as one row stands for those below; those above are not in it.
+    tasks = ranged.groupBy(*key, "task").agg(F.sum("copies").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranks = bands.select(*own, F.inline("bands")).select(*key, "total").withColumn("rank", F.floor(position)).withColumn("share", position - F.col("rank"))
+    ranks = ranks.select(*[F.col(k).alias(f"of_{k}") for k in key], "rank", "share")
+    at = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key])
+    holders = tasks.join(ranks, at).filter("before <= rank + 1 AND before + n > rank")
+    holders = holders.select(*[f"of_{k}" for k in key], F.col("task").alias("of_task"), "before", "rank", "share")
+    running = Window.partitionBy(*key, "task").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = ranged.join(holders, at & (F.col("task") == F.col("of_task"))).withColumn("upto", F.col("before") + F.sum("copies").over(running))
+    picked = last.groupBy(*key).agg(
         F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("low"),
         F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value"))).alias("high"),
         F.first("share").alias("share"),
     )
-    value = F.col("low") + F.col("share") * (F.coalesce("high", "low") - F.col("low"))
-    return picked.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("q", value.alias("v")))), lambda s: s["v"]).alias("quantiles")
-    )
+    found = F.col("low") + F.col("share") * (F.coalesce("high", "low") - F.col("low"))
+    measure = F.get(F.array(*[F.lit(c) for c in columns]), F.col("m"))
+    return picked.groupBy(*own, "m").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("q", found.alias("v")))), lambda s: s["v"]).alias("quantiles")
+    ).select(*[F.col(g).alias(b) for g, b in zip(own, by, strict=False)], measure.alias("measure"), "quantiles")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from staygauge import fixed_values as fixed
 from staygauge.operators import reports
 from staygauge.operators.extraction import parse_pages
-from staygauge.operators.geography import with_cluster, with_geography
+from staygauge.operators.geography import geography_index, with_cluster, with_geography
 from staygauge.operators.model import FeatureSet, feature_category, predict, preparation_stages, regression_metrics, scored_sample
 from staygauge.operators.stats import city_statistics, cluster_statistics, overall_median
 from staygauge.plans.scoring import score_captures, scoring_error
 from staygauge.plans.training import SPLIT_KEY, train_engine, training_tables
 from staygauge.operators.listing import listing_features
-from staygauge.session import new_folder
+from staygauge.session import new_folder, settle
 from staygauge.sources.artifacts import load_engine, save_engine
 from staygauge.workloads.geo import centres
 from staygauge.workloads.pages import captures
@@ -233,8 +233,8 @@ def cluster_fallback(spark, sf_dir):
     from staygauge.operators.neighbours import nearest_city
 
     points, known = _town(spark, sf_dir)
-    places = centres(points)
-    found = with_cluster(nearest_city(points, places), places, known.select("city", "lat", "long", "cluster_id"), within_km=900)
+    places = geography_index(centres(points), known.select("city", "lat", "long", "cluster_id"))
+    found = with_cluster(nearest_city(points, places.centres), places, within_km=900)
     return found.select("c_custkey", "nearest_city", "cluster_city", "cluster_id")
 
 
@@ -250,9 +250,9 @@ LEFT JOIN cluster_m ON cluster_m.city = p.cluster_city AND cluster_m.cluster_id
 def page_geography(spark, sf_dir):
     points, known = _town(spark, sf_dir)
     priced = points.withColumn("price_cleaned", F.log1p(F.abs("c_acctbal")))
-    found = with_geography(
-        points, city_statistics(priced), cluster_statistics(known), known.select("city", "lat", "long", "cluster_id"),
-        overall_median(priced))
+    cities = settle(city_statistics(priced), "cities")
+    places = geography_index(cities, known.select("city", "lat", "long", "cluster_id"))
+    found = with_geography(points, cities, cluster_statistics(known), places, overall_median(priced))
     return found.select("c_custkey", "nearest_city", "cluster_id", *[six(F.col(c)).alias(c) for c in ("median_city", "cluster_median")])
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from staygauge.functions.page_elements import page_elements
 from staygauge.operators import extraction as ex
+from staygauge.session import new_folder
+from staygauge.sources.tables import quarantine, read_batches, read_captures, read_parse_results, write_parse_results
 from staygauge.workloads.registry import six, table, workload
 from staygauge.workloads.standins import PAGES_SQL, captured_pages
 
@@ -169,3 +171,31 @@ NESTED = {"airbnb_service_fee", "cleaning_fee", "taxes"}
         "location_details", "num_amenities")))
 def completeness(spark, sf_dir):
     return ex.field_completeness(ex.parse_pages(captures(spark, sf_dir)))
+
+
+@workload("capture_files", f"""
+WITH {PAGES_SQL}
+SELECT CAST(k AS VARCHAR) AS listing_id, 'ok' AS status, name, price, currency, check_in, 'b' || (k % 2) AS batch FROM expected WHERE k % 13 <> 0
+UNION ALL SELECT '', 'bad record', '{{"listingId": "' || c_custkey || '", "html', NULL, NULL, NULL, 'b' || (c_custkey % 2) FROM customer WHERE c_custkey % 13 = 0""")
+def capture_files(spark, sf_dir):
+    """From capture files to result files: JSON lines, one in thirteen of them broken off, read, parsed, written by batch and read back.
+
+    The first batch is written twice, as after a failure, and counts once.
+    """
+    sent, results, bad = new_folder(spark, "sent"), new_folder(spark, "results"), new_folder(spark, "bad")
+    pages = captured_pages(spark, sf_dir)
+    key = F.coalesce("listingId", "listing_id").cast("long")
+    broken = F.concat(F.lit('{"listingId": "'), key.cast("string"), F.lit('", "html'))
+    lines = pages.select((key % 2).alias("half"), F.when(key % 13 == 0, broken).otherwise(F.to_json(F.struct(*pages.columns))).alias("value"))
+    lines.write.partitionBy("half").text(sent)
+    for half in (0, 1, 0):
+        good = quarantine(read_captures(spark, f"{sent}/half={half}"), bad, f"b{half}")
+        parsed = ex.parse_pages(ex.normal_captures(good))
+        write_parse_results(parsed, results, f"b{half}")
+    d = "data."
+    found = read_parse_results(spark, results, parsed.schema).select(
+        "listing_id", "status", d + "name", d + "price", d + "currency", d + "check_in", "batch")
+    lost = read_batches(spark, bad, "bad_record string").select(
+        F.lit("").alias("listing_id"), F.lit("bad record").alias("status"), F.col("bad_record").alias("name"), F.lit(None).cast("double").alias("price"),
+        F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("check_in"), "batch")
+    return found.unionByName(lost)

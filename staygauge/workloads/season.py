@@ -43,7 +43,7 @@ def season_lookup_sink(spark, sf_dir):
     write_season_lookup(old, path)
     new = old.filter((F.col("date") < "07-01") & (F.col("location") < "b")).withColumns({
         "color": F.lit("airbnb-day-red"), "price_relative": F.col("price_relative") + 1})
-    write_season_lookup(new, path, read_season_lookup(spark, path))
+    write_season_lookup(new, path)
     return read_season_lookup(spark, path).withColumn("price_relative", six(F.col("price_relative")))
 
 

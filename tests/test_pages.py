@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staygauge import fixed_values as fixed
-from staygauge.functions.page_elements import page_elements, read_page
+from staygauge.functions.page_elements import Outline, Selectors, page_elements, read_page
 from staygauge.operators import extraction as ex
 from staygauge.operators.extraction import jsonld_fields, lodging_blocks, price_for_nights
 
@@ -152,3 +152,55 @@ def test_rejected_markup_is_marked():
     with mock.patch.object(step, "Outline", side_effect=AssertionError("unknown status keyword")):
         page = read_page("<![x[")
     assert page["parse_error"] == "unknown status keyword" and page["text"] is None
+
+
+def fits(elements, index, steps):
+    """Whether an element completes the steps (relation, condition), by walking up and back from it."""
+    if not steps[-1][1](elements[index]):
+        return False
+    if len(steps) == 1:
+        return True
+    parent = elements[index][2]
+    if steps[-1][0] == "+":
+        before = [i for i in range(index) if elements[i][2] == parent]
+        return bool(before) and fits(elements, before[-1], steps[:-1])
+    while parent >= 0:
+        if fits(elements, parent, steps[:-1]):
+            return True
+        parent = elements[parent][2]
+    return False
+
+
+def test_selectors_in_one_pass():
+    import random
+
+    random.seed(2)
+    tag = lambda t: lambda e: e[0] == t
+    value = lambda v: lambda e: e[1].get("k") == v
+    selectors = {
+        "a": [(" ", tag("a"))], "[k='1'] b": [(" ", value("1")), (" ", tag("b"))], "[k='1'] + b": [(" ", value("1")), ("+", tag("b"))],
+        "a b [k='2'] + a": [(" ", tag("a")), (" ", tag("b")), (" ", value("2")), ("+", tag("a"))],
+        "a + b a": [(" ", tag("a")), ("+", tag("b")), (" ", tag("a"))], "b[k='1']": [(" ", lambda e: e[0] == "b" and e[1].get("k") == "1")]}
+    compiled = Selectors(list(selectors))
+    for _ in range(400):
+        parts = [random.choice(["<a>", "<b>", "<a k='1'>", "<b k='1'>", "<b k='2'>", "<br k='2'>", "<a k='1' k='2'/>", "</a>", "</b>", "x"]) for _ in range(25)]
+        outline = Outline("".join(parts), compiled)
+        for bit, steps in zip(compiled.last, selectors.values(), strict=True):
+            assert [i for i, bits in outline.matches if bits & bit] == [i for i in range(len(outline.elements)) if fits(outline.elements, i, steps)]
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 100_000 + "x" + "</div>" * 100_000, "<p>" * 40_000 + "</b>" * 40_000, "<div data-testid='review-item'>" + "<p>a" * 50_000,
+    "<div data-testid='title'></div><div>" * 30_000, "<section><h2 elementtiming='LCP-target'>a in b</h2>" + "<ol>" * 50_000])
+def test_a_page_takes_linear_time(html):
+    import time
+
+    start = time.process_time()
+    read_page(html)
+    assert time.process_time() - start < 4
+
+
+def test_number_of_reviews(spark):
+    page = spark.createDataFrame([("<div data-testid='review-item'>" + "".join(f"<p>r{k}</p>" for k in range(25)) + "</div>",)], "html string")
+    got = page.select(F.size(page_elements("html")["reviews"]), F.size(page_elements("html", None)["reviews"]), F.size(page_elements("html", 3)["reviews"])).first()
+    assert tuple(got) == (10, 25, 3)

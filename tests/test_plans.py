@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from staygauge.operators import reports
-from staygauge.operators.matching import match_places
+from staygauge.operators.matching import letters, match_places
 from staygauge.operators.model import FeatureSet, preparation_stages
 from staygauge.plans.scoring import score_captures
 from staygauge.sources.artifacts import load_engine, save_engine
-from staygauge.streaming.captures import accepted_times, score_stream, suppress_recaptures, suppress_recaptures_stream
+from staygauge.streaming.captures import (
+    accepted_times, score_available, suppress_recaptures, suppress_recaptures_stream, undecided_captures, with_capture_id)
 from staygauge.workloads.model import engine
 from staygauge.workloads.standins import captured_pages
 
@@ -33,6 +34,34 @@ def test_places(spark):
     assert {r.place: r.location for r in got} == {t: expected(t) if t else None for t in typed}
 
 
+def test_candidates_of_a_text_stay_few(spark):
+    """Misspelled names among 100 000 locations: nearly all are found at a high ratio, where few names share their rare letters."""
+    import random
+
+    from staygauge.operators import matching
+    from staygauge.session import settle
+
+    random.seed(3)
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwz" for b in ("a", "e", "i", "o", "u", "an", "or", "is")]
+    names = sorted({"".join(random.choice(syllables) for _ in range(random.randint(3, 6))) for _ in range(100_000)})
+    chosen = random.sample(names, 300)
+    typed = [n[:k] + random.choice("xqy") + n[k + 1:] for n in chosen for k in [random.randrange(len(n))]]
+    known = spark.createDataFrame([(n, n) for n in names], "location string, low string")
+    asked = spark.createDataFrame([(t, t) for t in set(typed)], "typed string, clean string")
+    counts = settle(known.select(F.explode(matching.letters(F.col("low"))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n_names")), "letters")
+    known, asked = (settle(matching.rarest_first(df, c, counts), "ordered") for df, c in ((known, "low"), (asked, "clean")))
+    pairs = settle(matching.candidate_pairs(asked, known, matching.RATIOS[0]), "pairs")
+    found = {(r.typed, r.location) for r in pairs.select("typed", "location").collect()}
+    expected = {(t, n) for t, n in zip(typed, chosen, strict=True) if SequenceMatcher(None, n, t).ratio() >= matching.RATIOS[0]}
+    assert expected <= found and len(found) < 100 * len(typed), (len(found), len(typed))
+
+
+def test_letters(spark):
+    texts = ["", "banana", "aab", "\n\n x", "é日é" * 3, "a" * 5000]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", letters(F.col("t")).alias("l")).collect():
+        assert sorted((x.c, x.n) for x in r.l) == sorted((c, k) for c in set(r.t) for k in range(1, r.t.count(c) + 1))
+
+
 def test_recaptures(spark):
     seconds = {"a": [0, 30, 59, 61, 61, 119, 121, 500], "b": [10, 69, 70, 71, 130]}
     rows = [(k, s) for k, ss in seconds.items() for s in ss]
@@ -42,6 +71,14 @@ def test_recaptures(spark):
     assert suppress_recaptures(df, ["listing_id"], "at").count() == 7
 
 
+def streamed(spark, schema, folder, seconds=60):
+    """Decided captures of a file stream, one file a micro-batch, with those that were left at its end."""
+    stream = with_capture_id(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    kept = suppress_recaptures_stream(stream, ["listing_id"], "at", seconds)
+    kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out"), undecided_captures(spark, f"{folder}/cp", ["listing_id"], "at", seconds)
+
+
 def test_recapture_stream_over_several_batches(spark, tmp_path):
     start = 1_700_000_000
     rows = [(f"k{i % 7}", start + (i * 37) // 10) for i in range(600)]
@@ -49,28 +86,38 @@ def test_recapture_stream_over_several_batches(spark, tmp_path):
     for part in range(4):
         low, high = start + part * 150 * 37 // 10, start + (part + 1) * 150 * 37 // 10
         df.filter((F.unix_timestamp("at") >= low) & (F.unix_timestamp("at") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    (df.limit(1).withColumn("listing_id", F.lit("end")).withColumn("at", F.timestamp_seconds(F.lit(start + 10**6)))
-     .coalesce(1).write.mode("append").parquet(str(tmp_path / "in")))
-    kept = suppress_recaptures_stream(stream, ["listing_id"], "at")
-    kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("listing_id", "at").collect()))
-    assert streamed == sorted(map(tuple, accepted_times(df, ["listing_id"], "at").collect())) and len(streamed) > 100
+    decided, rest = streamed(spark, df.schema, str(tmp_path))
+    both = decided.unionByName(rest)
+    got = sorted(map(tuple, both.select("listing_id", "at").collect()))
+    assert got == sorted(map(tuple, accepted_times(df, ["listing_id"], "at").collect())) and len(got) > 100
+    assert decided.count() > 100 and rest.count() > 10
+    ids = with_capture_id(df).select("listing_id", "at", "capture_id")
+    assert both.join(ids, ["listing_id", "at", "capture_id"], "left_anti").isEmpty()
 
 
 def test_captures_that_arrive_out_of_order(spark, tmp_path):
-    """1000 s, then 500 s (still inside the watermark), then 1061 s; times keep their microseconds."""
+    """1000 s, then 500 s (still inside the watermark), then 1061 s, twice; times keep their microseconds. No page is in the state."""
     start = 1_700_000_000
-    for k, seconds in enumerate([[1000.0], [500.000001], [1061.5], [10.0**6]]):
-        rows = [("a" if s < 10**5 else "end", start + s, "<html>") for s in seconds]
+    for seconds in [[1000.0], [500.000001], [1061.5, 1061.5], [1100.0]]:
+        rows = [("a", start + s, "<html>" + "x" * 5000 + str(k)) for k, s in enumerate(seconds)]
         df = spark.createDataFrame(rows, "listing_id string, s double, html string").withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long"))).drop("s")
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    kept = suppress_recaptures_stream(stream, ["listing_id"], "at")
-    kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("listing_id", "html", F.unix_micros("at").alias("at")).collect()
-    assert sorted((r.listing_id, r.html, r.at - start * 10**6) for r in got) == [
-        ("a", "<html>", 500_000_001), ("a", "<html>", 1_000_000_000), ("a", "<html>", 1_061_500_000)]
+    decided, rest = streamed(spark, df.schema, str(tmp_path))
+    pages = with_capture_id(spark.read.parquet(str(tmp_path / "in")))
+    back = pages.join(decided.unionByName(rest), ["listing_id", "at", "capture_id"], "left_semi").select("html", F.unix_micros("at").alias("at")).collect()
+    assert sorted(r.at - start * 10**6 for r in back) == [500_000_001, 1_000_000_000, 1_061_500_000]
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "cp")).select("list_element.*")
+    assert waiting.columns == ["micros", "capture_id"] and waiting.count() >= 1
+
+
+def test_many_captures_of_one_listing(spark):
+    """One a second: the work is linear in their number."""
+    import time
+
+    times = spark.range(40_000).select(F.lit("a").alias("listing_id"), F.timestamp_seconds(F.col("id")).alias("at"))
+    start = time.time()
+    assert accepted_times(times, ["listing_id"], "at").count() == 667
+    assert time.time() - start < 40
 
 
 def test_long_runs_of_captures(spark):
@@ -114,8 +161,6 @@ def test_engine_scores_the_same_from_batch_stream_and_disk(spark, tmp_path):
 
     pages = captured_pages(spark, SF)
     pages.write.parquet(str(tmp_path / "in"))
-    end = pages.limit(1).withColumns({"capturedAt": F.lit("2030-01-01T00:00:00Z"), "listingId": F.lit("end")})
-    end.select(*pages.columns).write.mode("append").parquet(str(tmp_path / "in"))
     wanted = ["listing_id", "prediction.predicted_price_per_night_usd", "prediction.cluster_id", "prediction.stoplight", "prediction.error"]
     batch = sorted(map(tuple, score_captures(pages, fitted).select(*wanted).collect()))
     assert batch and all((price is None) == (error is not None) for _, price, _, _, error in batch)
@@ -123,7 +168,7 @@ def test_engine_scores_the_same_from_batch_stream_and_disk(spark, tmp_path):
 
     save_engine(fitted, str(tmp_path / "engine"))
     loaded = load_engine(spark, str(tmp_path / "engine"))
-    score_stream(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), loaded, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    score_available(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), loaded, str(tmp_path / "out"), str(tmp_path / "cp"))
     streamed = spark.read.option("basePath", str(tmp_path / "out")).json(str(tmp_path / "out/batch=*")).select(*wanted)
     for got, want in zip(sorted(map(tuple, streamed.collect())), batch, strict=True):
         assert got[0] == want[0] and got[2:] == want[2:] and got[1] == pytest.approx(want[1])

@@ -57,3 +57,40 @@ def test_upsert_and_required_columns(spark, tmp_path):
     old.write.parquet(str(tmp_path / "bad"))
     with pytest.raises(ValueError, match="city"):
         tables.read_season_index(spark, str(tmp_path / "bad"))
+
+
+def test_readers_of_the_lookup_see_whole_versions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lookup")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    schema = "location string, date string, color string, price_relative double"
+    with pytest.raises(ValueError):
+        tables.read_season_lookup(spark, path)
+    old = [(place, f"01-0{day}", "g", 0.0) for place in ("a", "b", "c") for day in (1, 2)]
+    tables.write_season_lookup(spark.createDataFrame(old, schema), path)
+    begun = tables.read_season_lookup(spark, path)  # a reader that begins before the upsert
+    during = []
+    new = [("b", "01-02", "r", 1.0), ("d", "01-01", "r", 2.0)]
+    merged = [r for r in old if r[:2] != ("b", "01-02")] + new
+    real_write = tables.upsert_season_lookup
+
+    def reads_meanwhile(current, incoming):
+        during.append(rows(tables.read_season_lookup(spark, path)))
+        return real_write(current, incoming)
+
+    monkeypatch.setattr(tables, "upsert_season_lookup", reads_meanwhile)
+    assert tables.write_season_lookup(spark.createDataFrame(new, schema), path) == 1
+    # A version whose files are there but that is not published yet does not count.
+    spark.createDataFrame([("a", "x", "y", 9.0)], schema).write.partitionBy("location").parquet(f"{path}/parts/2")
+    spark.createDataFrame([("a", 2)], "location string, part long").write.parquet(f"{path}/manifests/3")
+    assert during == [sorted(old)] and rows(begun) == sorted(old) and rows(tables.read_season_lookup(spark, path)) == sorted(merged)
+
+
+def test_many_upserts_are_rewritten_as_one(spark, tmp_path):
+    path = str(tmp_path / "lookup")
+    schema = "location string, date string, color string, price_relative double"
+    for k in range(tables.MAX_PARTS + 3):
+        tables.write_season_lookup(spark.createDataFrame([(f"p{k}", "01-01", "g", float(k))], schema), path)
+    found = tables.read_season_lookup(spark, path)
+    assert sorted(r.price_relative for r in found.collect()) == [float(k) for k in range(tables.MAX_PARTS + 3)]
+    parts = tables._manifest(spark, path, tables.MAX_PARTS + 2).select("part").distinct().count()
+    assert parts <= tables.MAX_PARTS
