@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staygauge.llm.columns import free_name, quoted
 from staygauge.llm.encoding import BoundedCache, as_signs, byte_signs, lowered, pieces, special_tokens, words_of
 
 BLOCK = 1 << 16  # characters of a text, and symbols of a word, that are held at a time
@@ -203,8 +204,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return pd.DataFrame({"ids": ids, "decoded": decoded})
 
     named = docs.drop("ids", "decoded")
-    coded = named.withColumn("coded_text", run(F.col("text").cast("string")))
-    return coded.select(*[F.col(f"`{c}`") for c in named.columns], "coded_text.*")
+    own = free_name(named, "coded_text")
+    coded = named.withColumn(own, run(F.col("text").cast("string")))
+    return coded.select(*map(quoted, named.columns), f"{own}.*")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staygauge.llm.columns import quoted
 from staygauge.session import new_folder, settle
 
 # Fixed values of the contract.
@@ -128,7 +129,7 @@ def dedup_lines(
     dropped = places.join(repeated, _KEY).filter(~F.col("row_doc").eqNullSafe(F.col("max_doc")))
     dropped = dropped.groupBy("row_doc", "row_text").agg(F.sort_array(F.collect_set("place")).alias("gone"))
     # The lines travel instead of the text, so that after the join they are a column and not split again for every slice.
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_text")]
+    others = [quoted(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_text")]
     rows = docs.select(F.struct(*others).alias("others"), row[0].alias("own_doc"), row[1].alias("own_text"),
                        F.col("text").isNull().alias("no_text"), lines_of(F.col("text")).alias("lines"))
     same = F.col("own_doc").eqNullSafe(F.col("row_doc")) & (F.col("own_text") == F.col("row_text"))

@@ -128,7 +128,7 @@ def ends_digests(ends: DataFrame) -> DataFrame:
     Ids are joined in chunks of a range of IDS_PER_CHUNK numbers each; the chunks of a node stream into its digest in order.
     """
     chunk = F.floor(F.col("conv_id") / IDS_PER_CHUNK).alias("chunk")
-    joined = F.array_join(F.array_sort(F.collect_set("conv_id")).cast("array<string>"), ",")
+    joined = F.array_join(F.sort_array(F.collect_set("conv_id")).cast("array<string>"), ",")
     chunks = ends.groupBy(*_NODE, chunk).agg(joined.alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from staygauge.llm.columns import quoted
 from staygauge.llm.words import SPACES, buffer_of, covered, grams, hashes, release, spans
 
 WINDOW = 20
@@ -141,7 +143,9 @@ def dedup_substrings(
     Nothing is broadcast, a hot window is one entry a block, and tasks hold one block or one slice. Scale ``block_bytes`` and
     ``slice_windows`` with executor memory: the number of messages is blocks times slices.
     """
-    docs = docs.drop(*_RESULTS)
+    kept_names = [c for c in docs.columns if c not in _RESULTS]
+    inner = [c if c in ("doc_id", "text") else f"own{i}" for i, c in enumerate(kept_names)]
+    docs = docs.select(*[quoted(c).alias(name) for c, name in zip(kept_names, inner, strict=True)])
     plan = plan_for(docs, window, block_bytes, slice_windows)
 
     @F.pandas_udf("long")
@@ -214,5 +218,6 @@ def dedup_substrings(
     answers = exact.groupBy("slice").applyInArrow(group, _REPLY)
     marks = replies.withColumn("round", F.lit(1)).unionAll(answers.withColumn("round", F.lit(2)))
     # A block without any window has no mark, and a cogroup keeps it.
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return blocks.cogroup(marks.groupBy("block")).applyInArrow(remove, f"{fields}, n_words long, n_removed long, kept_text string")
+    schema = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    found = blocks.cogroup(marks.groupBy("block")).applyInArrow(remove, schema)
+    return found.select(*[F.col(name).alias(c) for c, name in zip(kept_names, inner, strict=True)], *_RESULTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,6 +132,61 @@ def build_index(vectors: DataFrame, blocks: int, bits: int = BITS) -> DataFrame:
     return rows.groupBy("dim", "block").applyInArrow(build, _INDEX)
 
 
+# A component below 2**24 and a length up to 2**14 keep every score and every sum of slices within 64 bits.
+NARROW, NARROW_LENGTH = 1 << 24, 1 << 14
+EXACT_ROWS = 1024  # candidates of a block of whole numbers
+
+
+def _whole(x: float, scale: int) -> int:
+    """floor(scale * x), exactly."""
+    over, under = x.as_integer_ratio()
+    return over * scale // under
+
+
+def _exact_scores(candidates: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
+    """(query_id, vec_id, exact): the k best candidates of each block for each query, scored in whole numbers of any size.
+
+    Blocks of candidates meet the queries in parts, as in the index. For the few vectors that 64 bits do not hold.
+    """
+    blocks = max(1, -(-candidates.count() // EXACT_ROWS))
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    place = lambda df, n, seed, name: df.select(
+        F.size("embedding").cast("long").alias("dim"), F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).alias(name), "vec_id", "embedding")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    asked = place(queries, parts, 17, "part").select("dim", every, "vec_id", "embedding", F.lit(True).alias("asked"))
+    held = place(candidates, blocks, 13, "block").withColumn("asked", F.lit(False))
+
+    def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = None, []
+        for batch in stream:
+            out = []
+            for dim, block, vec_id, embedding, asking in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (dim, block) != own:
+                    own, rows = (dim, block), []
+                values = [_whole(x, scale) for x in embedding]
+                if not asking:
+                    rows.append((vec_id, values))
+                    continue
+                scores = [(-sum(a * b for a, b in zip(values, v, strict=True)), i) for i, v in rows if i != vec_id]
+                out += [(vec_id, i, str(-s)) for s, i in heapq.nsmallest(k, scores)]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
+                ["query_id", "vec_id", "exact"])
+
+    met = held.unionByName(asked).repartition("dim", "block").sortWithinPartitions("dim", "block", "asked", "vec_id")
+    return met.select("dim", "block", "vec_id", F.col("embedding").cast("array<double>"), "asked").mapInArrow(
+        search, "query_id long, vec_id long, exact string")
+
+
+def _sortable(exact: Column) -> Column:
+    """Text that sorts as the decimal number does: sign, number of digits, digits; all turned round below zero."""
+    digits = F.ltrim(exact, F.lit("-"))
+    size = F.lpad(F.length(digits).cast("string"), 4, "0")
+    turned = F.translate(F.concat(size, digits), "0123456789", "9876543210")
+    return F.when(exact.startswith("-"), F.concat(F.lit("0"), turned)).otherwise(F.concat(F.lit("1"), size, digits))
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k best other rows for each query row of ``vectors`` (vec_id, embedding): query_id, rank, vec_id, score.
 
@@ -138,14 +194,33 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
     the smaller vec_id. Vectors that are null or hold a null or non-finite component, and rows without vec_id, take no part;
     vectors are compared with those of the same length. Rows that share the query's vec_id are not its candidates; a repeated
     query row is asked once, a repeated candidate counts each time. Fewer candidates than k give fewer rows; other columns are
-    not read. Components must stay below 2**24 in size after scaling.
+    not read.
 
     Every block of rows meets the queries in small parts, in one stream: the block is held, the parts pass by. A part's queries
     are summed over bit slices, the boundary is found from the highest slice down, and only rows within the rounding of the
     slices are scored exactly. A block returns k rows a query, so what is ranked at the end is k times the number of blocks.
+
+    Vectors that are longer than 2**14 or have a component of 2**24 or more after scaling stay out of the index: they meet all
+    others in whole numbers of any size. Ranks are exact then too; a score beyond 64 bits is given as the nearest number that has 64.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
-    good = good.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding"), scale).alias("components"))
+    good = good.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    narrow = (F.size("embedding") <= NARROW_LENGTH) & F.forall("embedding", lambda x: F.abs(x.cast("double")) < NARROW / scale)
+    found = _indexed(good.filter(narrow).select("vec_id", quantised(F.col("embedding"), scale).alias("components")), queries, k, block_rows)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    wide = good.filter(~narrow)
+    if not wide.isEmpty():
+        more = _exact_scores(good, wide.filter(queries).distinct(), k, scale).unionAll(
+            _exact_scores(wide, good.filter(narrow & queries).distinct(), k, scale))
+        least, greatest = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1).cast("long")
+        nearest = F.coalesce(F.expr("try_cast(exact AS long)"), F.when(F.col("exact").startswith("-"), least).otherwise(greatest))
+        found = found.withColumn("exact", F.col("score").cast("string")).unionByName(more.withColumn("score", nearest))
+        order = Window.partitionBy("query_id").orderBy(F.desc(_sortable(F.col("exact"))), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _indexed(good: DataFrame, queries: Column, k: int, block_rows: int) -> DataFrame:
+    """(query_id, vec_id, score) of each block's k best rows for each query, over the bit-sliced index of ``good`` (vec_id, components)."""
     blocks = max(1, -(-good.count() // block_rows))
     index = settle(build_index(good, blocks), "bit_sliced_index")
     asked = good.filter(queries).distinct().select(
@@ -183,6 +258,4 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     met = rows.repartition("dim", "block").sortWithinPartitions("dim", "block", "part")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(search, "query_id long, vec_id long, score long")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staygauge.llm.columns import free_name, quoted
 from staygauge.llm.words import LOWER, NOT_LETTERS, Spans, bounded, buffer_of, cuts, hashes, release, spans
 from staygauge.session import settle
 
@@ -204,7 +205,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int | None = None)
 
     All labelled rows are used; with ``sample`` that many rows of each class at most, in a hash order of doc_id, each of which then
     counts in the calibration as the rows of its class that it stands for. A doc_id labelled twice is toxic if any row says so;
-    null labels and doc_ids are left out. Two folds cross-fit the calibration: a document is scored with the weights of the other
+    null labels and doc_ids are left out. Two folds of texts cross-fit the calibration: a document is scored with the weights of the other
     fold. The calibration is fitted on counts of rows by class and evidence. Without toxic or without clean rows every score is 0.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"))
@@ -217,12 +218,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int | None = None)
         order = F.xxhash64(F.lit(3), "doc_id")
         some = [rows.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
         chosen = some[0].unionAll(some[1])
-    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)))
     # Labels grow with the documents, so both sides are dealt by doc_id; only texts that may have a label are moved.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     training = settle(texts.filter(_maybe_labelled(F.col("doc_id"), rows)).join(chosen.hint("merge"), "doc_id").select(
-        "fold", "toxic", "text"), "toxic_training")
-    # Copies of a text would count as evidence of each of its words.
+        F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2)).alias("fold"), "toxic", "text"), "toxic_training")
+    # Copies of a text would count as evidence of each of its words, and are in one fold.
     distinct = training.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(9), "text")).agg(
         F.min("fold").alias("fold"), F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("fold", "toxic", "text")
     seen = settle(distinct.mapInArrow(_counts, "token long, fold long, toxic long, n long").groupBy("token").agg(
@@ -302,6 +302,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"score": scores, "passages": kept})
 
     named = docs.drop("score", "predicted", "passages")
-    scored = named.withColumn("toxicity", score(F.col("text").cast("string")))
-    return scored.select(*[F.col(f"`{c}`") for c in named.columns], "toxicity.score",
-                         (F.col("toxicity.score") >= THRESHOLD).cast("int").alias("predicted"), "toxicity.passages")
+    own = free_name(named, "toxicity")
+    scored = named.withColumn(own, score(F.col("text").cast("string")))
+    return scored.select(*map(quoted, named.columns), F.col(own)["score"].alias("score"),
+                         (F.col(own)["score"] >= THRESHOLD).cast("int").alias("predicted"), F.col(own)["passages"].alias("passages"))

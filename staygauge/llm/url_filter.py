@@ -8,6 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staygauge.llm.columns import free_name, quoted
 from staygauge.session import settle
 
 MIN_SUPPORT = 0.001  # share of labelled pages that show a rule and its verdict
@@ -145,8 +146,9 @@ def judge_urls(pages: DataFrame, path_rules: list[PathRule], rules: MinedRules |
     """
     named = pages.drop("host", "path", "rule", "verdict", "matched")
     if isinstance(rules, DataFrame):
-        joined = named.join(_matched(named, rules), F.col("url").cast("string") == F.col("of"), "left")
-        return _judged(joined.select(*[F.col(f"`{c}`") for c in named.columns], "matched"), path_rules)
+        of = free_name(named, "of")
+        joined = named.join(_matched(named, rules).withColumnRenamed("of", of), F.col("url").cast("string") == F.col(of), "left")
+        return _judged(joined.select(*map(quoted, named.columns), "matched"), path_rules)
     frequency: dict[str, int] = {}
     for tokens, _, _ in rules:
         for t in tokens:
@@ -174,6 +176,6 @@ def _judged(found: DataFrame, path_rules: list[PathRule]) -> DataFrame:
     url = F.col("url").cast("string")
     name, verdict = path_rule(F.col("host"), F.col("path"), path_rules)
     learned = F.when(F.col("matched").isNotNull(), "block").otherwise("allow")
-    found = found.select(*[F.col(f"`{c}`") for c in found.columns if c != "matched"], host_of(url).alias("host"),
+    found = found.select(*[quoted(c) for c in found.columns if c != "matched"], host_of(url).alias("host"),
                          path_of(url).alias("path"), "matched")
     return found.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, learned))

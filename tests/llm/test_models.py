@@ -278,3 +278,19 @@ def test_slices_leave_few_rows_to_score():
     exact = values @ query
     order = [i for i in np.lexsort((np.arange(5000), -exact)) if i != 17][:10]
     assert ids.tolist() == order and scores.tolist() == exact[order].tolist()
+
+
+def test_top_k_of_vectors_beyond_64_bits(spark):
+    random.seed(6)
+    far = [1e30, -1e30, 2e30, 1.5e300, -1.7e305, 1.79e308, 2.0**14, -(2.0**14), 0.3, -0.7, 0.0, 1e-300]
+    rows = [(k, [random.choice(far) for _ in range(3)]) for k in range(60)]
+    rows += [(100 + k, [random.uniform(-1, 1) for _ in range(3)]) for k in range(40)] + [(200, [1e30]), (205, [-1e30]), (210, [0.5]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = [(i, [x.as_integer_ratio()[0] * 1024 // x.as_integer_ratio()[1] for x in v]) for i, v in rows]
+    want, asked = [], set()
+    for i, q in exact:
+        if i % 5 == 0 and (i, tuple(q)) not in asked:
+            asked.add((i, tuple(q)))
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in exact if j != i and len(c) == len(q))
+            want += [(i, rank, j, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, j) in enumerate(scored[:10], 1)]
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0).collect())) == sorted(want)
