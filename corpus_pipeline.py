@@ -8,9 +8,10 @@ line or substring dedup leaves empty stays as an empty text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staygauge.llm.columns import quoted
 from staygauge.llm.line_dedup import dedup_lines
 from staygauge.llm.packing import pack_documents
 from staygauge.llm.queries import table, tokenizer_path
@@ -20,35 +21,44 @@ from staygauge.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from staygauge.session import settle
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all the rest in one column, so that no name of it meets a name of an operator."""
+    return docs.select("doc_id", "text", F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _own(c: str) -> Column:
+    return F.col("text") if c == "text" else F.col("row").getField(c)
+
+
 def _with_text(docs: DataFrame, changed: DataFrame, dropped: str) -> DataFrame:
     """The columns of ``docs``, with the kept text and its length where something was dropped."""
-    text = F.when(F.col(dropped) > 0, F.col("kept_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col(dropped) > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return changed.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return changed.select(*[
+        (F.when(F.col(dropped) > 0, new[c]).otherwise(_own(c)) if c in new else _own(c)).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model predicts toxic. It learns from labelled rows that are not held out."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
-    scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.filter(F.col("predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score_toxicity(_narrow(docs), fit_toxicity(docs, labels))
+    return scored.filter(F.col("predicted") == 0).select(*[_own(c).alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that at least five documents hold, but in the last of them."""
-    return _with_text(docs, dedup_lines(docs), "n_dropped")
+    return _with_text(docs, dedup_lines(_narrow(docs)), "n_dropped")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id. Rows without doc_id stay."""
     first = similarity_classes(docs).filter("class_id = doc_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id is null")).select(*map(quoted, docs.columns))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the words of passages of twenty words or more that an earlier document, or the same one before, holds."""
-    return _with_text(docs, dedup_substrings(docs), "n_removed")
+    return _with_text(docs, dedup_substrings(_narrow(docs)), "n_removed")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
