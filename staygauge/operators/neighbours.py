@@ -54,7 +54,7 @@ def _prune(near: Column, home: Column, k: int, dimensions: int) -> Column:
     def squared(cell: Column, widen: int) -> Column:
         return sum((F.pow(F.greatest(F.abs(cell[i] - home[i]) + widen, F.lit(0)), 2) for i in range(dimensions)), F.lit(0.0))
 
-    by_far = F.array_sort(F.transform(near, lambda c: F.struct(squared(c["cell"], 1).alias("far"), c["weight"].alias("weight"))))
+    by_far = F.sort_array(F.transform(near, lambda c: F.struct(squared(c["cell"], 1).alias("far"), c["weight"].alias("weight"))))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("reach"))
     reach = F.aggregate(
         by_far, start,
@@ -202,7 +202,7 @@ def candidate_lists(queries: DataFrame, index: NeighbourIndex, k: int) -> DataFr
 
 def _ranked(distance, columns: list[str]) -> Column:
     """Candidates ordered by distance, then by the listed fields, each as (distance, fields..., copies)."""
-    return F.array_sort(F.transform("candidates", lambda c: F.struct(
+    return F.sort_array(F.transform("candidates", lambda c: F.struct(
         distance(c).alias("distance"), *[c[x].alias(x) for x in columns], c["copies"].alias("copies"))))
 
 
@@ -274,7 +274,7 @@ def knn_vote(
     index = cluster_points if isinstance(cluster_points, NeighbourIndex) else index_of(cluster_points, [by], "cluster_id", metric)
     ranked = _nearest(points, index, k)
     # A copied point votes as often as it occurs, up to the k places.
-    voters = F.slice(F.flatten(F.transform("ranked", lambda r: F.array_repeat(r["ref_label"], F.least(r["copies"], F.lit(k)).cast("int")))), 1, k)
+    voters = F.slice(F.flatten(F.transform(F.slice("ranked", 1, k), lambda r: F.array_repeat(r["ref_label"], F.least(r["copies"], F.lit(k)).cast("int")))), 1, k)
     tallies = F.transform(F.array_distinct("voters"), lambda c: F.struct(
         (-F.size(F.filter("voters", lambda v: v == c))).alias("votes"), c.alias("cluster")))
     winner = F.when(F.col("references") >= min_points, F.array_min(tallies)["cluster"])

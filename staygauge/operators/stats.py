@@ -164,5 +164,5 @@ def exact_quantiles(
     found = F.col("low") + F.col("share") * (F.coalesce("high", "low") - F.col("low"))
     measure = F.get(F.array(*[F.lit(c) for c in columns]), F.col("m"))
     return picked.groupBy(*own, "m").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("q", found.alias("v")))), lambda s: s["v"]).alias("quantiles")
+        F.transform(F.sort_array(F.collect_list(F.struct("q", found.alias("v")))), lambda s: s["v"]).alias("quantiles")
     ).select(*[F.col(g).alias(b) for g, b in zip(own, by, strict=False)], measure.alias("measure"), "quantiles")
