@@ -55,6 +55,26 @@ def overall_median(listings: DataFrame) -> DataFrame:
     return exact_medians(listings, [], {"price_cleaned": "global_median"})
 
 
+def fallback_medians(listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``city_statistics``, ``cluster_statistics`` and ``overall_median`` of listings (city, cluster_id, price_cleaned, lat, long),
+    all three from the same two passes."""
+    none = F.lit(None)
+    city, cluster, place = F.col("city"), F.col("cluster_id").cast("long"), [F.col("lat").cast("double"), F.col("long").cast("double")]
+
+    def level(n: int, own_city: Column, own_cluster: Column, places: list[Column]) -> Column:
+        return F.struct(F.lit(n).alias("level"), own_city.cast("string").alias("city"), own_cluster.cast("long").alias("cluster_id"),
+                        F.col("price_cleaned"), *[p.cast("double").alias(name) for p, name in zip(places, ("lat", "long"), strict=True)])
+
+    levels = F.array(level(0, city, none, place), level(1, city, cluster, [none, none]), level(2, none, none, [none, none]))
+    rows = listings.select(F.inline(levels)).filter((F.col("level") != 1) | (F.col("cluster_id") != fixed.NO_CLUSTER))
+    found = settle(exact_medians(rows, ["level", "city", "cluster_id"], {
+        "price_cleaned": "median", "lat": "center_lat", "long": "center_lon"}), "medians")
+    return (
+        found.filter("level = 0 AND city IS NOT NULL").select("city", F.col("median").alias("median_city"), "center_lat", "center_lon"),
+        found.filter("level = 1 AND city IS NOT NULL").select("city", "cluster_id", F.col("median").alias("cluster_median")),
+        found.filter("level = 2").select(F.col("median").alias("global_median")))
+
+
 def with_city_median(df: DataFrame, cities: DataFrame, overall: DataFrame | None = None) -> DataFrame:
     """Add ``median_city``; cities without one take the overall median if it is given."""
     joined = df.join(cities.select("city", "median_city"), "city", "left")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ["season", "listings", "stats", "geo", "pages", "places", "model", "streams"]
+TOPICS = ["season", "listings", "stats", "geo", "pages", "places", "model", "streams", "scoring"]
 
 
 def load_all():

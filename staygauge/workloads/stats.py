@@ -63,9 +63,9 @@ def median_fallback(spark, sf_dir):
             ((F.col("o_orderkey") * 7919 % 100 < 85) & (F.col("n_nationkey") != 7)).alias("is_train"))
     )
     train = rows.filter("is_train")
-    overall = stats.overall_median(train)
-    with_city = stats.with_city_median(rows, stats.city_statistics(train.withColumns({"lat": F.lit(0.0), "long": F.lit(0.0)})), overall)
-    full = stats.with_cluster_median(with_city, stats.cluster_statistics(train), overall)
+    cities, clusters, overall = stats.fallback_medians(train.withColumns({"lat": F.lit(0.0), "long": F.lit(0.0)}))
+    with_city = stats.with_city_median(rows, cities, overall)
+    full = stats.with_cluster_median(with_city, clusters, overall)
     return full.select("o_orderkey", six(F.col("median_city")).alias("median_city"), six(F.col("cluster_median")).alias("cluster_median"))
 
 
