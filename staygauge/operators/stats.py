@@ -83,9 +83,9 @@ def with_city_median(df: DataFrame, cities: DataFrame, overall: DataFrame | None
     return joined.withColumn("median_city", F.coalesce("median_city", overall.scalar()))
 
 
-def with_cluster_median(df: DataFrame, clusters: DataFrame, overall: DataFrame) -> DataFrame:
+def with_cluster_median(df: DataFrame, clusters: DataFrame, overall: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Add ``cluster_median``: that of the cluster, else of the city, else of all listings."""
-    joined = df.join(clusters.select("city", "cluster_id", "cluster_median"), ["city", "cluster_id"], "left")
+    joined = df.join(clusters.select("city", cluster, "cluster_median"), ["city", cluster], "left")
     return joined.withColumn("cluster_median", F.coalesce("cluster_median", "median_city", overall.scalar()))
 
 
