@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 4
-BATCHES = 4
+BATCHES = 5  # more than a level holds, so that the last one meets compacted runs
 
 _KEY = ["h1", "h2"]
 
@@ -41,10 +41,11 @@ def _key_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Sorted runs (h1, h2, n_docs, max_doc) in levels, in a shared folder.
+    """Sorted runs (h1, h2, n_docs, max_doc) in levels, in a shared folder. No key is in two runs.
 
-    A batch adds one sorted run to level 0; ``first_seen`` anti-joins keys with the runs and is not part of ``add``. A level that has
-    ``fanout`` runs is compacted into one run of the next level, so n batches leave about fanout * log(n) runs and every key is
+    The keys of a batch are merge-joined with the runs: those that no run holds yet (the anti-join) become a sorted run of level 0;
+    of the others only the counts of this batch are put aside (``again``). A level that has ``fanout`` runs is compacted into one
+    run of the next level by merging, as their keys differ; so n batches leave about fanout * log(n) runs and every key is
     rewritten log(n) times. Runs are only added and replaced as whole tables: a lost executor costs a rerun of its tasks.
 
     Batches must hold different doc_ids; repeated rows of one doc_id within a batch count as one document.
@@ -54,6 +55,7 @@ class LineRuns:
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
         self.folder = folder or new_folder(spark, "line_runs")
         self.levels: list[list[DataFrame]] = []
+        self.again: list[DataFrame] = []
         self._written = 0
 
     def _write(self, run: DataFrame) -> DataFrame:
@@ -62,40 +64,56 @@ class LineRuns:
         run.sortWithinPartitions(*_KEY).write.parquet(path)
         return self.spark.read.schema(run.schema).parquet(path)
 
-    def all(self) -> DataFrame | None:
+    def _runs(self) -> DataFrame | None:
         runs = [run for level in self.levels for run in level]
-        return _merged(reduce(DataFrame.unionAll, runs)) if runs else None
+        return reduce(DataFrame.unionAll, runs) if runs else None
+
+    def all(self) -> DataFrame | None:
+        """Every key once, with its counts over all batches."""
+        runs = self._runs()
+        return _merged(reduce(DataFrame.unionAll, self.again, runs)) if runs is not None else None
 
     def first_seen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` (h1, h2, ...) that no run holds yet."""
-        for level in self.levels:
-            for run in level:
-                keys = keys.join(run.select(*_KEY), _KEY, "left_anti")
-        return keys
+        runs = self._runs()
+        return keys.join(runs.select(*_KEY), _KEY, "left_anti") if runs is not None else keys
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of documents (doc_id, text); returns its own run."""
+        """Add a batch of documents (doc_id, text); returns its own keys with their counts."""
         keys = F.array_distinct(F.array_compact(_key_hashes(F.col("text"), self.min_chars)))
         pairs = batch.select(F.col("doc_id").cast("long"), F.explode(keys).alias("key"))
         pairs = pairs.select("doc_id", "key.*").distinct()
-        run = self._write(pairs.groupBy(*_KEY).agg(
-            F.count(F.lit(1)).alias("n_docs"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("max_doc")))
-        self._place(run, 0)
-        return run
+        own = pairs.groupBy(*_KEY).agg(
+            F.count(F.lit(1)).alias("n_docs"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("max_doc"))
+        runs = self._runs()
+        if runs is None:
+            own = self._write(own)
+            self._place(own, 0)
+            return own
+        # One merge join tells the keys that no run holds from the others.
+        marked = self._write(own.join(runs.select(*_KEY, F.lit(True).alias("held")), _KEY, "left"))
+        self.again.append(marked.filter("held").drop("held"))
+        self._place(marked.filter("held IS NULL").drop("held"), 0)
+        return marked.drop("held")
 
     def _place(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(_merged(reduce(DataFrame.unionAll, self.levels[level])))
+            merged = self._write(reduce(DataFrame.unionAll, self.levels[level]).repartition(*_KEY))
             self.levels[level] = []
             self._place(merged, level + 1)
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame | None:
-        """Keys held by ``min_docs`` documents or more."""
-        every = self.all()
-        return every.filter(F.col("n_docs") >= min_docs) if every is not None else None
+        """Keys held by ``min_docs`` documents or more: the runs, with what was put aside for their keys."""
+        runs = self._runs()
+        if runs is None or not self.again:
+            return runs.filter(F.col("n_docs") >= min_docs) if runs is not None else None
+        again = _merged(reduce(DataFrame.unionAll, self.again)).withColumnsRenamed({"n_docs": "more", "max_doc": "later"})
+        total = runs.join(again, _KEY, "left").withColumns({
+            "n_docs": F.col("n_docs") + F.coalesce("more", F.lit(0)), "max_doc": F.greatest("max_doc", "later")})
+        return total.filter(F.col("n_docs") >= min_docs).drop("more", "later")
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -113,7 +131,7 @@ def dedup_lines(
     text is one empty line. Rows of one doc_id are one document; a null doc_id is the smallest. An empty table gives no row.
     Columns of ``docs`` named like a result are replaced.
 
-    The table enters the runs in ``batches`` hash slices of doc_id. Then the places of repeated lines are found by joining the
+    The table enters the runs in ``batches`` hash slices of doc_id, each anti-joined with the runs so far. Then the places of repeated lines are found by joining the
     line keys with the repeated keys only; texts are moved once, to meet their places. The keys of a hot line spread by
     (key, doc_id) before they are counted, and Spark's skew handling splits them in the second join.
     """

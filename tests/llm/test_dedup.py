@@ -63,6 +63,18 @@ def test_runs_are_compacted_and_tell_new_keys(spark, documents):
         seen |= keys
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert runs.all().count() == len(seen)
+    held = [(r.h1, r.h2) for level in runs.levels for run in level for r in run.collect()]
+    assert len(held) == len(set(held)) and set(held) == seen  # each batch added only what no run had
+    whole = LineRuns(spark, min_chars=10).add(documents)
+    for least in (1, 2, 5):
+        assert sorted(map(tuple, runs.repeated(least).collect())) == sorted(map(tuple, whole.filter(F.col("n_docs") >= least).select("h1", "h2", "n_docs", "max_doc").collect()))
+    assert runs.again and sum(a.count() for a in runs.again) > 0
+
+
+def test_dedup_uses_the_levels(spark, documents):
+    runs = LineRuns(spark)
+    dedup_lines(documents, runs=runs)
+    assert [len(level) for level in runs.levels] == [1, 1] and len(runs.again) == 4
 
 
 def substrings_by_force(rows, window):
