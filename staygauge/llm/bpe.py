@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from staygauge.llm.columns import free_name, quoted
 from staygauge.llm.encoding import BoundedCache, as_signs, byte_signs, lowered, pieces, special_tokens, words_of
 
-BLOCK = 1 << 16  # characters of a text, and symbols of a word, that are held at a time
+BLOCK = 1 << 16  # characters of a text that are held at a time
+SHORT = 64  # symbols up to which a scan for the best pair costs less than a heap
 CACHE_ENTRIES = 600_000  # about 150 MB: merging in Python costs more than the library does
 _NONE = 1 << 60
 
@@ -58,7 +60,9 @@ class Merges:
         return longest
 
     def tokens(self, symbols: list[str]) -> list[str]:
-        """Merge the leftmost pair of the lowest rank until none is left."""
+        """Merge the leftmost pair of the lowest rank until none is left. ``symbols`` may be changed."""
+        if len(symbols) > SHORT:
+            return self._tokens(symbols)
         ranks = self.ranks
         own = [ranks.get(pair, _NONE) for pair in zip(symbols, symbols[1:])]  # noqa: B905
         while own:
@@ -74,10 +78,34 @@ class Merges:
                 own[i - 1] = ranks.get((symbols[i - 1], symbols[i]), _NONE)
         return symbols
 
-    def stream(self, signs: Iterable[str], block: int = BLOCK) -> Iterator[str]:
-        """Tokens of one word, given in parts. At most ``block + 2 * lookahead`` symbols are held: a token is passed on when
-        ``lookahead`` symbols after it are known, and what follows a passed token is encoded as if it began there."""
+    def _tokens(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of pairs over linked symbols: n log n steps. A pair that is no more has another rank or none."""
+        ranks, n = self.ranks, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[pair], i) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]  # noqa: B905
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if not symbols[i] or j >= n or ranks.get((symbols[i], symbols[j])) != rank:
+                continue
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (symbols[i], symbols[k]) in ranks:
+                    heappush(heap, (ranks[symbols[i], symbols[k]], i))
+            h = before[i]
+            if h >= 0 and (symbols[h], symbols[i]) in ranks:
+                heappush(heap, (ranks[symbols[h], symbols[i]], h))
+        return [token for token in symbols if token]
+
+    def stream(self, signs: Iterable[str], block: int | None = None) -> Iterator[str]:
+        """Tokens of one word, given in parts. At most ``block + 2 * lookahead`` symbols (and a part) are held: a token is passed on
+        when ``lookahead`` symbols after it are known, and what follows a passed token is encoded as if it began there."""
         held: list[str] = []
+        block = block or 2 * self.lookahead
         for part in signs:
             held += part
             while len(held) > block + 2 * self.lookahead:
@@ -105,12 +133,8 @@ class Encoder:
         self.pieces = BoundedCache(self._piece, CACHE_ENTRIES)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        signs, ids, end = as_signs(word), self.merges.ids, self.merges.end
-        if len(signs) > BLOCK:
-            return tuple(ids[t] for t in self.merges.stream(signs[i:i + BLOCK] for i in range(0, len(signs), BLOCK)))
-        symbols = list(signs)
-        symbols[-1] += end
-        return tuple([ids[t] for t in self.merges.tokens(symbols)])
+        signs, ids, size = as_signs(word), self.merges.ids, self.merges.lookahead
+        return tuple([ids[t] for t in self.merges.stream(signs[i:i + size] for i in range(0, len(signs), size))])
 
     def ids_of(self, piece: str) -> list[int]:
         out: list[int] = []

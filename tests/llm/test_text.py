@@ -73,6 +73,27 @@ def test_words_in_parts(encoder, word, block, part):
     assert list(merges.stream((word[i:i + part] for i in range(0, len(word), part)), block)) == whole
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab!=.haeinst", min_size=65, max_size=900))
+def test_long_and_short_windows_merge_alike(encoder, word):
+    symbols = [*word[:-1], word[-1] + encoder.merges.end]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("staygauge.llm.bpe.SHORT", 10_000)
+        plain = encoder.merges.tokens(list(symbols))
+    assert encoder.merges.tokens(list(symbols)) == plain
+
+
+def test_very_long_words(encoder, library):
+    import time
+
+    random.seed(2)
+    for word in ("".join(random.choices("etaoinshrdlu", k=20_000)), "ha" * 6_000, "x" * 9_000):
+        assert [i for ids, _ in encoder.stream(word) for i in ids] == library_ids(library, word)
+    start = time.process_time()
+    assert sum(len(ids) for ids, _ in encoder.stream("".join(random.choices("etaoinshrdlu", k=300_000)))) > 1000
+    assert time.process_time() - start < 20
+
+
 def test_a_window_is_bounded(encoder, monkeypatch):
     merges, longest = encoder.merges, 0
     own = merges.tokens
