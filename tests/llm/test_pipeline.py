@@ -104,5 +104,5 @@ def test_stages_of_nothing(spark, planted):
 
 
 def test_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
     assert pipeline.ORACLE_SQL is None
