@@ -189,3 +189,28 @@ def test_two_crowded_cells_just_beyond_the_radius(spark):
     got = density_clusters(places, radius).groupBy("city").agg(F.countDistinct("cluster_id").alias("n"), F.min("cluster_id").alias("low")).collect()
     assert {r.city: (r.n, r.low) for r in got} == {"apart": (2, 0), "joined": (1, 0)}
     assert time.time() - start < 120
+
+
+def test_a_saved_index_is_probed_as_it_is(spark, tmp_path):
+    """One group of many places and one of few; queries in, near and far from them, with and without a group."""
+    import random
+
+    from staygauge.operators.neighbours import NeighbourIndex, index_of
+
+    random.seed(9)
+    known = [("big", random.gauss(50, 0.05), random.gauss(8, 0.05), random.randint(0, 3)) for _ in range(900)]
+    known += [("small", random.uniform(0, 1), random.uniform(0, 1), k % 2) for k in range(20)] + [("big", None, 8.0, 1)]
+    asked = [(k, random.choice(["big", "small", "none", None]), random.gauss(50, 0.1), random.gauss(8, 0.1)) for k in range(80)]
+    asked += [(100, "big", 0.0, 0.0), (101, "small", 80.0, -170.0), (102, "big", None, 1.0), (103, "small", 1.0, None)]
+    refs = spark.createDataFrame(known, "city string, lat double, long double, cluster_id long")
+    points = spark.createDataFrame(asked, "id long, city string, lat double, long double")
+    index = index_of(refs, ["city"], "cluster_id", "haversine")
+    assert index.start is not None and index.groups.filter("candidates IS NOT NULL").count() == 1
+    index.save(str(tmp_path / "index"))
+    loaded = NeighbourIndex.load(spark, str(tmp_path / "index"))
+    rows = lambda df: sorted((r.id, r.cluster_id) for r in df.collect())
+    found = rows(knn_vote(points, loaded))
+    assert found == rows(knn_vote(points, refs))
+    assert rows(knn_vote(points.filter("city = 'small'"), loaded, min_points=21)) == [(i, -1) for i, c, *_ in asked if c == "small"]
+    by_id = dict(found)
+    assert by_id[100] >= 0 and by_id[101] >= 0 and by_id[102] == by_id[103] == -1 and all(by_id[i] == -1 for i, c, *_ in asked if c not in ("big", "small"))
