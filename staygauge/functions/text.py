@@ -42,6 +42,11 @@ def first_group(text: Column, pattern: str, group: int = 1, flags: str = "(?iU)"
     return blank_to_null(F.regexp_extract(text, flags + pattern, group))
 
 
+def only_references(html: Column, names: tuple[str, ...]) -> Column:
+    """HTML in which these character references count, with their semicolon; any other stays the text it is written as."""
+    return F.regexp_replace(html, rf"&(?!(?:{'|'.join(names)});)", "&amp;")
+
+
 def city_key(city: Column) -> Column:
     return F.lower(F.translate(city, "_", " "))
 

@@ -204,3 +204,14 @@ def test_number_of_reviews(spark):
     page = spark.createDataFrame([("<div data-testid='review-item'>" + "".join(f"<p>r{k}</p>" for k in range(25)) + "</div>",)], "html string")
     got = page.select(F.size(page_elements("html")["reviews"]), F.size(page_elements("html", None)["reviews"]), F.size(page_elements("html", 3)["reviews"])).first()
     assert tuple(got) == (10, 25, 3)
+
+
+def test_text_and_title_know_the_references_of_their_sql(spark, tmp_path):
+    from staygauge.workloads.pages import page_text, page_title
+
+    html = "<h1>a&amp;&amp</h1><p>token = &quot;x&quot;</p><p>b&quo</p>"
+    spark.createDataFrame([(1, "u", html), (2, "u", "<h1>&quot;</h1>&eacute;")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, page_text(spark, str(tmp_path)).collect())) == [(1, 'a&&amp token = "x" b&quo'), (2, '" &eacute;')]
+    assert sorted(map(tuple, page_title(spark, str(tmp_path)).collect())) == [(1, "a&&amp"), (2, "&quot;")]
+    # Pages as such are read as browsers do.
+    assert spark.createDataFrame([(html,)], "html string").select(page_elements("html")["title"]).first()[0] == "a&&"
