@@ -215,3 +215,16 @@ def test_text_and_title_know_the_references_of_their_sql(spark, tmp_path):
     assert sorted(map(tuple, page_title(spark, str(tmp_path)).collect())) == [(1, "a&&amp"), (2, "&quot;")]
     # Pages as such are read as browsers do.
     assert spark.createDataFrame([(html,)], "html string").select(page_elements("html")["title"]).first()[0] == "a&&"
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_admitted_stream_reads_a_table_of_one_or_more_files(spark, tmp_path, files):
+    from staygauge.workloads.streams import admitted_stream
+
+    rows = [(i, f"https://x.example/{'en' if i % 2 else 'de'}/{i}", "x" * (1000 + i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(files)
+    df.write.parquet(f"{tmp_path}/{'t' if files == 1 else 'pages.parquet'}")
+    if files == 1:
+        [part] = [f for f in (tmp_path / "t").iterdir() if f.name.endswith(".parquet")]
+        part.rename(tmp_path / "pages.parquet")
+    assert sorted(int(r[0]) for r in admitted_stream(spark, str(tmp_path)).collect()) == list(range(1, 40, 2))
