@@ -78,3 +78,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str, rows_per_task: int = 4096) -> DataFrame:
+    """``df`` dealt by key over tasks of about ``rows_per_task`` rows, and over all cores at least.
+
+    For narrow rows ahead of costly steps. The planner cuts files by bytes, so a million keys, each of which becomes a page,
+    would be one task.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+    return df.repartition(tasks, *key)

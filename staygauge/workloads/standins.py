@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staygauge.session import spread
 from staygauge.workloads.registry import table
 
 
@@ -196,7 +197,7 @@ _PAGE_PARTS = [
 
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
-        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )

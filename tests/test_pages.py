@@ -228,3 +228,11 @@ def test_admitted_stream_reads_a_table_of_one_or_more_files(spark, tmp_path, fil
         [part] = [f for f in (tmp_path / "t").iterdir() if f.name.endswith(".parquet")]
         part.rename(tmp_path / "pages.parquet")
     assert sorted(int(r[0]) for r in admitted_stream(spark, str(tmp_path)).collect()) == list(range(1, 40, 2))
+
+
+def test_narrow_rows_are_dealt_by_number(spark):
+    from staygauge.session import spread
+
+    assert spread(spark.range(20_000).coalesce(1), "id").rdd.getNumPartitions() == 5
+    assert spread(spark.range(20_000).coalesce(1), "id", rows_per_task=1000).rdd.getNumPartitions() == 20
+    assert spread(spark.range(3).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
