@@ -214,3 +214,12 @@ def test_a_saved_index_is_probed_as_it_is(spark, tmp_path):
     assert rows(knn_vote(points.filter("city = 'small'"), loaded, min_points=21)) == [(i, -1) for i, c, *_ in asked if c == "small"]
     by_id = dict(found)
     assert by_id[100] >= 0 and by_id[101] >= 0 and by_id[102] == by_id[103] == -1 and all(by_id[i] == -1 for i, c, *_ in asked if c not in ("big", "small"))
+
+
+def test_places_and_listings_are_dealt_by_number(spark):
+    """A small file of many keys is one split; what is derived from it must not be one task."""
+    from staygauge.workloads import standins
+
+    cores, folder = spark.sparkContext.defaultParallelism, "/root/testdata/sf0.01"
+    for derived in (standins.town_points, standins.globe_points, standins.raw_listings, standins.captured_pages):
+        assert derived(spark, folder).rdd.getNumPartitions() >= cores
