@@ -185,3 +185,19 @@ def test_flagged_outliers_stay_as_noise(spark):
     assert strays.count() > 0 and strays.filter("cluster_id != -1 OR split != 'train'").isEmpty()
     assert kept.count() == dropped.count() + strays.count()
     assert kept.filter("cluster_median IS NULL").isEmpty()
+
+
+def test_a_listings_captures_enter_the_state_in_chunks_and_make_no_rows():
+    """Rows, not frames: a frame a listing and batch, nearly always empty, was most of a stream's time."""
+    from types import SimpleNamespace
+
+    from staygauge.streaming import captures
+
+    lists, timers = [], []
+    state = SimpleNamespace(appendList=lists.append)
+    handle = SimpleNamespace(getListState=lambda *_: state, getValueState=lambda *_: None, registerTimer=timers.append)
+    decisions = captures._decisions(["k"], 60_000_000)
+    decisions.init(handle)
+    rows = (SimpleNamespace(micros=1_000_000 * (i + 5), capture_id=str(i)) for i in range(captures.CHUNK_ROWS + 1))
+    assert list(decisions.handleInputRows(("a",), rows, SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == []
+    assert [len(part) for part in lists] == [captures.CHUNK_ROWS, 1] and timers == [5001]
