@@ -223,3 +223,22 @@ def test_places_and_listings_are_dealt_by_number(spark):
     cores, folder = spark.sparkContext.defaultParallelism, "/root/testdata/sf0.01"
     for derived in (standins.town_points, standins.globe_points, standins.raw_listings, standins.captured_pages):
         assert derived(spark, folder).rdd.getNumPartitions() >= cores
+
+
+def test_few_candidates_are_ranked(spark):
+    """The exact distances, which Spark interprets, are for about k of the listed places and not for all of them."""
+    from staygauge.operators.neighbours import _nearest, index_of
+
+    rng = random.Random(5)
+    places = [(i, "a", 10 + rng.random() / 10, 20 + rng.random() / 10) for i in range(400)]
+    points = spark.createDataFrame([*places, (900, "a", None, 1.0)], SCHEMA)
+    for metric, distance in (("haversine", lambda p, q: km(p, q)), ("euclidean", lambda p, q: round(math.dist(p, q), 9))):
+        got = _nearest(points, index_of(points.filter("id < 400"), ["city"], "id", metric), 5).collect()
+        assert len(got) == 401
+        for r in got:
+            if r.lat is None:
+                assert r.ranked is None
+                continue
+            best = sorted((distance((r.lat, r.long), p[2:]), p[0]) for p in places)[:5]
+            assert 5 <= len(r.ranked) <= 8
+            assert [(x.distance, x.ref_label) for x in r.ranked[:5]] == best
