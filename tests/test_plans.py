@@ -201,3 +201,16 @@ def test_a_listings_captures_enter_the_state_in_chunks_and_make_no_rows():
     rows = (SimpleNamespace(micros=1_000_000 * (i + 5), capture_id=str(i)) for i in range(captures.CHUNK_ROWS + 1))
     assert list(decisions.handleInputRows(("a",), rows, SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == []
     assert [len(part) for part in lists] == [captures.CHUNK_ROWS, 1] and timers == [5001]
+
+
+def test_exact_medians_of_a_preparation_are_not_gathered(spark):
+    """Spark's imputer keeps all values in its sketches at an error of 0; the exact one is found as all medians are."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer
+
+    rows = spark.createDataFrame([(None, 4.0), (1.0, float("nan")), (7.0, 4.0), (3.0, 0.1 + 0.2)], "`odd.a` double, b double")
+    rows = rows.withColumnRenamed("odd.a", "odd a")
+    stages = preparation_stages(FeatureSet(("odd a", "b"), ()), median_error=0.0)
+    assert not any(isinstance(s, Imputer) for s in stages)
+    got = Pipeline(stages=stages[:1]).fit(rows).transform(rows).select("odd a_imputed", "b_imputed").collect()
+    assert [tuple(r) for r in got] == [(3.0, 4.0), (1.0, 4.0), (7.0, 4.0), (3.0, 0.1 + 0.2)]
