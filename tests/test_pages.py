@@ -236,3 +236,14 @@ def test_narrow_rows_are_dealt_by_number(spark):
     assert spread(spark.range(20_000).coalesce(1), "id").rdd.getNumPartitions() == 5
     assert spread(spark.range(20_000).coalesce(1), "id", rows_per_task=1000).rdd.getNumPartitions() == 20
     assert spread(spark.range(3).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_no_task_holds_all_capture_lines(spark, tmp_path):
+    """Capture files are written by batch, which sorts a task's pages: their number must not grow with the table."""
+    from staygauge.workloads.standins import captured_pages
+
+    spark.range(20_000).selectExpr("id AS c_custkey", "CAST(0 AS INT) AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'here' AS n_name, 0 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 0 AS r_regionkey, 'there' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    tasks = captured_pages(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 20_000 and max(r["count"] for r in tasks) < 6000
