@@ -247,3 +247,23 @@ def test_no_task_holds_all_capture_lines(spark, tmp_path):
     spark.sql("SELECT 0 AS r_regionkey, 'there' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
     tasks = captured_pages(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 20_000 and max(r["count"] for r in tasks) < 6000
+
+
+def test_a_page_is_searched_once_for_each_fact(spark):
+    """A fact that stands in conditions is a column of its own: copied into each of them, its pattern would run there again."""
+    captures = spark.createDataFrame([("1", "https://x.example/", None, "<p>Hosting since 2012</p>")], "listing_id string, url string, captured_at string, html string")
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = ex.parse_pages(captures)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    for pattern in (fixed.HOSTING_SINCE, fixed.HOST_RATING, fixed.RESPONSE_RATE, fixed.REVIEW_COUNT + ",", fixed.AMENITY_COUNT):
+        assert plan.count(pattern) == 1, pattern
+
+
+def test_blank_texts_and_empty_numbers_are_missing(spark):
+    row = spark.sql("SELECT '\u00a0 \u2003' AS blank, ' a' AS filled, CAST(NULL AS STRING) AS none, 'per night' AS words, '' AS empty").select(
+        ex.is_missing(F.col("blank"), "string"), ex.is_missing(F.col("filled"), "string"), ex.is_missing(F.col("none"), "string"),
+        ex.parse_number(F.col("words")), ex.parse_number(F.col("empty")), ex.parse_number(F.col("none"))).first()
+    assert list(row) == [True, False, True, None, None, None]
