@@ -214,3 +214,17 @@ def test_exact_medians_of_a_preparation_are_not_gathered(spark):
     assert not any(isinstance(s, Imputer) for s in stages)
     got = Pipeline(stages=stages[:1]).fit(rows).transform(rows).select("odd a_imputed", "b_imputed").collect()
     assert [tuple(r) for r in got] == [(3.0, 4.0), (1.0, 4.0), (7.0, 4.0), (3.0, 0.1 + 0.2)]
+
+
+def test_the_driver_collects_its_garbage_between_the_steps_of_clustering(spark):
+    """Many small jobs leave plans and broadcasts behind; the heap grew with them although little of it was live."""
+    from staygauge.operators.density import density_clusters
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    places = spark.createDataFrame([("a", 10 + i / 1e5, 20.0) for i in range(12)] + [("a", 50.0, 20.0)], "city string, lat double, long double")
+    before = collections()
+    assert sorted(r.cluster_id for r in density_clusters(places, 1.0).collect()) == [-1] + [0] * 12
+    assert collections() >= before + 3
